@@ -77,9 +77,9 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 ORACLE_SQL = {
     "op4_minhash": f"""
         WITH RECURSIVE words AS (
-            SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+            SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
         sets AS (
-            SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' ')))
+            SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')))
                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
         items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
         links AS (
@@ -90,12 +90,12 @@ ORACLE_SQL = {
         FROM sets s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON s.doc_id = r.x""",
     "op6_line_dedup": f"""
         WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-        lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS at FROM docs),
+        lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM docs),
         keyed AS (SELECT *, {_LOWER.format("regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')")} AS k FROM lines),
         hot AS (SELECT k, max(doc_id) AS keep_id FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
         marked AS (SELECT d.*, h.k IS NOT NULL AND d.doc_id < h.keep_id AS gone FROM keyed d LEFT JOIN hot h ON d.k = h.k)
         SELECT doc_id, count(*) AS n_lines, cast(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
-            sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY at), '')) AS kept_sha256
+            sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY place), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
     "op10_exact_dedup": """
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS x FROM documents),

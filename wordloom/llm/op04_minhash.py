@@ -12,9 +12,10 @@ Jaccard similarity s share a table with probability (1 - (1 - s^r)^m)^2: 0.9999
    are already connected need no verification.
 4. Connected components come from minimum labels with pointer jumping, as tables.
 5. Documents in buckets that still hold several components are joined exactly among themselves by prefix
-   filtering: each posts only its rarest items, one of which any similar set must share. Postings whose members
-   are in one component already drop out; the pairs of the others are listed, and while they are too many, the
-   member that shares most meets all others of its posting and leaves it. So no link is lost, and the pairs of a
+   filtering: each posts only its rarest items, one of which any similar set must share, and the places of a shared
+   item bound what two sets can have in common. Postings whose members are in one component already drop out; the
+   pairs of the others that the bound allows are listed, and while there are too many to look at, the member that
+   shares most meets all others of its posting and leaves it. So no link is lost, and the pairs of a
    large group are never all made.
 
 Defined results: null or empty texts and texts without words have an empty set, belong to no other and keep
@@ -173,10 +174,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, doc, n, most) for the items, rarest first, that a similar set must share at least one of.
+    """(key, doc, n, rest) for the items, rarest first, that a similar set must share at least one of.
 
     Of n items in rarity order, one of the first n - ceil(percent% of n) + 1 is in any similar set; those that are
-    in no other of these sets give no row. most: how many items of the set are in any other.
+    in no other of these sets give no row. rest: how many items from this one on are in any other set. Two sets that
+    share this item and none before it have at most the smaller rest in common.
     """
 
     def run(batches):
@@ -191,7 +193,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     held = held.withColumn("most", F.size("held").cast("long"))
     room = f"cast(n - (n * {percent} + 99) div 100 + 1 - (n - most) as int)"
     held = held.where(f"{room} > 0").withColumn("held", F.expr(f"slice(held, 1, {room})"))
-    return held.select("doc", "n", "most", F.explode("held").alias("h")).select(F.col("h.item").alias("key"), "doc", "n", "most")
+    return held.select("doc", "n", "most", F.posexplode("held").alias("at", "h")).select(F.col("h.item").alias("key"), "doc", "n", (F.col("most") - F.col("at")).alias("rest"))
 
 
 class _Linker:
@@ -239,10 +241,10 @@ class _Linker:
                 return
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, m: int = 10, r: int = 2, listed: int = 2_000_000) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, m: int = 10, r: int = 2, listed: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
-    listed: so many remaining pairs, or four for each representative, are listed at once.
+    listed: so many remaining pairs for each representative are looked at at once.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = stored(signatures(docs, words, m, r), "signatures")
@@ -253,7 +255,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = table_rows(members, m, r)
     shared = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
     rows = stored(rows.join(shared, "key", "left_semi").distinct(), "table-rows")
-    link = _Linker(docs, members, words, percent, 2 * m * r, max(listed, 4 * members.count()))
+    link = _Linker(docs, members, words, percent, 2 * m * r, listed * max(100_000, members.count()))
     if not rows.isEmpty():
         hubs = rows.groupBy("key").agg(F.min("doc").alias("b"))
         link.add(rows.withColumnRenamed("doc", "a").join(hubs, "key").where("a <> b").select("a", "b").distinct())
@@ -265,15 +267,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = _mixed_buckets(rows, link)
         left = rows.groupBy("key").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("n")).first()["n"]
         if left <= link.many:  # what remains, all at once
-            other = rows.select("key", F.col("doc").alias("b"), F.col("comp").alias("other"), F.col("n").alias("n2"), F.col("most").alias("most2"))
+            other = rows.select("key", F.col("doc").alias("b"), F.col("comp").alias("other"), F.col("n").alias("n2"), F.col("rest").alias("rest2"))
             found = rows.withColumnRenamed("doc", "a").join(other, "key")
-            found = found.where(f"a > b and comp <> other and 100 * least(most, most2) >= {percent} * (n + n2 - least(most, most2))")
+            found = found.where(f"a > b and comp <> other and 100 * least(rest, rest2) >= {percent} * (n + n2 - least(rest, rest2))")
             link.add(found.select("a", "b").distinct())
             break
-        hubs = stored(rows.groupBy("key").agg(F.max(F.struct(F.col("most") / F.col("n"), "doc", "comp")).alias("hub")).select("key", F.col("hub.doc").alias("b"), F.col("hub.comp").alias("other")), "hubs")
+        hubs = stored(rows.groupBy("key").agg(F.max(F.struct(F.col("rest") / F.col("n"), "doc", "comp")).alias("hub")).select("key", F.col("hub.doc").alias("b"), F.col("hub.comp").alias("other")), "hubs")
         link.add(rows.withColumnRenamed("doc", "a").join(hubs, "key").where("a <> b and comp <> other").select("a", "b").distinct())
         rows = rows.join(hubs.select("key", F.col("b").alias("doc")), ["key", "doc"], "left_anti")  # it has met all others
-        rows = stored(rows.select("key", "doc", "n", "most"), "table-rows")
+        rows = stored(rows.select("key", "doc", "n", "rest"), "table-rows")
     out = classes.join(link.comp.withColumnRenamed("v", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     out = stored(out.where("n_rows > 1 or comp <> doc").select("k1", "k2", "comp"), "class-components")
     done = made.select("doc_id", "n_shingles", "k1", "k2").join(out, ["k1", "k2"], "left")

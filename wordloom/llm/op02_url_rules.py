@@ -81,7 +81,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_ro
     each = known.select("rejected", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("rows"), F.sum("rejected").alias("bad")).where(F.col("rows") >= least)
     each = each.withColumn("telling", F.abs(F.col("bad") - F.col("rows") * base) / F.sqrt("rows"))
     # At most (tokens of a URL) / min_support tokens pass: no more with more rows.
-    picked = known.select(F.monotonically_increasing_id().alias("row"), "rejected", F.explode("tokens").alias("token")).join(F.broadcast(each), "token")
+    picked = known.withColumn("row", F.monotonically_increasing_id()).select("row", "rejected", F.explode("tokens").alias("token")).join(F.broadcast(each), "token")
     best = picked.groupBy("row", "rejected").agg(F.slice(F.sort_array(F.collect_list(F.struct("telling", "token")), asc=False), 1, width).alias("best"))
     class_ = F.when(F.col("rejected") == 1, _REJECTED).otherwise(_ACCEPTED)
     baskets = best.select(F.concat(F.transform("best", lambda x: x["token"]), F.array(class_)).alias("items"))

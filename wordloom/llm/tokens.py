@@ -9,14 +9,39 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
 
 import numpy as np
 
-#: A chunk with the white space before it; only these characters, which every splitting pattern counts as space.
-LED = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
-#: A chunk alone, for tokenizers that drop white space.
-BARE = re.compile(r"[^\t-\r ]+")
+_LETTER, _STOP, _SPACE = "[A-Za-zÀ-ÖØ-öø-ɏ]", "[.,;:!?|]", r"[\t-\r ]"
+# A run of letters before stops and space or the end, and the stops after such a run, are chunks of their own: every
+# pattern splits there too, and far fewer chunks differ. All else up to the next white space is one chunk.
+_WORD = rf"{_LETTER}+(?={_STOP}*(?:{_SPACE}|$))"
+_LED = re.compile(rf"{_SPACE}*{_WORD}|(?<={_LETTER}){_STOP}+(?={_SPACE}|$)|{_SPACE}*[^\t-\r ]+|{_SPACE}+")
+_STOPPED = re.compile(rf"(?<={_LETTER})({_STOP}+)(?={_SPACE}|$)")
+_GAP = re.compile(r"(?<=[^\t-\r ])[\t-\r ]")
+
+
+def LED(text: str) -> list[str]:
+    """Chunks with the white space before them; only characters that every splitting pattern counts as space."""
+    return _LED.findall(text)
+
+
+def BARE(text: str) -> list[str]:
+    """Chunks alone, for tokenizers that drop white space; for texts without other white space than [\t-\r ]."""
+    return _STOPPED.sub(r" \1", text).split()
+
+
+def blocks(text: str, size: int = 1 << 20):
+    """A long text in parts that begin where chunks do."""
+    start = 0
+    while start < len(text):
+        gap = _GAP.search(text, start + size)
+        end = gap.start() if gap else len(text)
+        yield text[start:end]
+        start = end
+
+
+_LETTERS_ALONE = re.compile(f"{_LETTER}+")
 #: Other characters that some libraries count as space; texts with any are encoded as one chunk.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 
@@ -24,7 +49,7 @@ OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]"
 class ChunkMemo:
     """Ids of chunks; `fresh` encodes a list of new ones."""
 
-    def __init__(self, fresh, chunks: re.Pattern, limit: int = 400_000, step: int = 200_000):
+    def __init__(self, fresh, chunks, limit: int = 1_000_000, step: int = 200_000):
         self.fresh, self.chunks, self.limit, self.step = fresh, chunks, limit, step
         self._clear()
 
@@ -47,11 +72,11 @@ class ChunkMemo:
 
     def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts together, and how many each part has."""
-        new = [x for x in dict.fromkeys(parts) if x not in self.place]
+        new = list(set(parts).difference(self.place))
         if new:
-            if len(self.place) + len(new) > self.limit or self.used > 32 * self.limit:
+            if len(self.place) + len(new) > self.limit or self.used > 16 * self.limit:
                 self._clear()
-                new = list(dict.fromkeys(parts))
+                new = list(set(parts))
             self._learn(new)
         at = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
         sizes = self.sizes[at]
@@ -77,14 +102,11 @@ class ChunkMemo:
             if OTHER_SPACE.search(text):
                 flush()
                 out.append(np.asarray(self.fresh([text])[0], np.int32))
-            elif len(text) > 1 << 21:  # a very long text goes in steps
+            elif len(text) > 1 << 21:  # a very long text goes in parts
                 flush()
-                found, pieces = (m.group() for m in self.chunks.finditer(text)), []
-                while own := list(islice(found, self.step)):
-                    pieces.append(self._ids(own)[0])
-                out.append(np.concatenate(pieces) if pieces else np.empty(0, np.int32))
+                out.append(np.concatenate([self._ids(self.chunks(x))[0] for x in blocks(text)]))
             else:
-                own = self.chunks.findall(text)
+                own = self.chunks(text)
                 parts += own
                 counts.append(len(own))
                 if len(parts) >= self.step:
@@ -96,12 +118,32 @@ class ChunkMemo:
 _loaded: dict = {}
 
 
-def library_memo(path: str, chunks: re.Pattern) -> ChunkMemo:
+def library_memo(path: str, chunks) -> ChunkMemo:
     """A memo over a tokenizers file, one for each Python worker."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _loaded[path] = ChunkMemo(lambda new: [x.ids for x in tokenizer.encode_batch(new, add_special_tokens=False)], chunks)
+        many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        ends = np.array([i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")])
+        is_end = np.zeros(tokenizer.get_vocab_size(), bool)
+        is_end[ends.astype(int)] = True
+
+        def fresh(new: list[str]) -> list:
+            out: list = [None] * len(new)
+            # Where tokens mark the ends of words, words of letters alone go as one text, cut at the marks.
+            words = [i for i, x in enumerate(new) if _LETTERS_ALONE.fullmatch(x)] if len(ends) and chunks is BARE else []
+            if words:
+                ids = np.array(many([" ".join(new[i] for i in words)], add_special_tokens=False)[0].ids, np.int32)
+                parts = np.split(ids, np.flatnonzero(is_end[ids]) + 1)[:-1]
+                if len(parts) == len(words):
+                    for i, part in zip(words, parts, strict=True):
+                        out[i] = part
+            rest = [i for i, x in enumerate(out) if x is None]
+            for i, x in zip(rest, many([new[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = x.ids
+            return out
+
+        _loaded[path] = ChunkMemo(fresh, chunks)
     return _loaded[path]

@@ -21,7 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import LED, ChunkMemo
+from .common import by_bytes, utf8
+from .tokens import ChunkMemo, joined
 
 LONG = 4096
 _NONE = np.int32(2**31 - 1)
@@ -75,7 +76,7 @@ class ByteBpe:
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         triples = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.pairs = PairTable(*np.array(triples, np.int32).reshape(-1, 3).T)
-        self.memo = ChunkMemo(self.encode_new, LED)
+        self.memo = ChunkMemo(lambda new: joined(self.encode_new(new)))
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
@@ -86,7 +87,7 @@ class ByteBpe:
         return _models[path, pattern]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.memo.encode(texts)
+        return self.memo.encode([x.encode() for x in texts])
 
     def encode_new(self, texts: list[str]) -> list[list[int]]:
         split = [self.pattern.findall(t) for t in texts]
@@ -183,8 +184,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches):
         model = ByteBpe.load(path, pattern)
-        for batch in _sliced(batches):
-            ids = model.encode([x or "" for x in batch.column(1).to_pylist()])
+        for batch in (x for b in batches for x in by_bytes(b, 1)):
+            ids = model.memo.encode(utf8(batch.column(1)))
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])

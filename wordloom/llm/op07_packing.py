@@ -18,20 +18,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .tokens import BARE, library_memo
+from .common import by_bytes, stored, utf8
+from .tokens import library_memo
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", chunks=BARE) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (unsigned little-endian, 16 bits where they fit), part, before."""
 
     def run(batches):
-        memo = library_memo(path, chunks)
+        memo = library_memo(path)
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                own = batch.slice(at, 500)
-                ids = memo.encode([x or "" for x in own.column(1).to_pylist()])
+            for own in by_bytes(batch, 1):
+                ids = memo.encode(utf8(own.column(1)))
                 sizes = np.array([len(x) + 1 for x in ids], np.int64)
                 starts = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())
@@ -64,9 +63,8 @@ def cut(rows: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
+            for own in by_bytes(batch, 2):
                 out = [[] for _ in range(8)]
-                own = batch.slice(at, 500)
                 for doc, n, data, part, before in zip(*(c.to_pylist() for c in own.columns), strict=True):
                     ids, first = unpacked(data, n), base[part] + before
                     start = 0

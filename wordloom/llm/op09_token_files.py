@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import open_store, shared_folder, stored
 from .op07_packing import offsets, tokenized, unpacked
-from .tokens import LED
 
 MARK = 0x31534449_4B4E5254
 _SIZES = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
@@ -80,13 +79,13 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, id_col: str =
     """Writes the files; their folder, and a table of them: file, first id's place, number of ids."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "token-files")
-    rows = stored(tokenized(docs, path, end_id, id_col, text_col, LED), "tokens")
+    rows = stored(tokenized(docs, path, end_id, id_col, text_col), "tokens")
 
     def count(batches):
         total = np.zeros(vocab, np.int64)
         for batch in batches:
-            for data, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total += np.bincount(unpacked(data, n), minlength=vocab)
+            rows = [unpacked(data, n) for data, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            total += np.bincount(np.concatenate(rows), minlength=vocab)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(total[own])], names=["id", "n"])
 

@@ -1,37 +1,61 @@
-"""Encoding of whole texts through a memo of their white-space chunks, shared by the token operators.
+"""Encoding of whole texts through a memo of their chunks, shared by the token operators.
 
 Splitting patterns of the public tokenizers never let a token reach from a character into the white space behind
-it, so a text's ids are those of its chunks, each encoded alone. A worker keeps the ids of the chunks it has met,
-up to a bound, and encodes only new ones.
+it, nor from a letter into a stop mark, so a text's ids are those of its chunks, each encoded alone. Chunks are found
+with numpy on the bytes of many texts at once, equal ones are joined by Arrow's dictionary encoding, and a worker keeps
+the ids of the chunks it has met, up to a bound, and encodes only new ones.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-_LETTER, _STOP, _SPACE = "[A-Za-zÀ-ÖØ-öø-ɏ]", "[.,;:!?|]", r"[\t-\r ]"
-# A run of letters before stops and space or the end, and the stops after such a run, are chunks of their own: every
-# pattern splits there too, and far fewer chunks differ. All else up to the next white space is one chunk.
-_WORD = rf"{_LETTER}+(?={_STOP}*(?:{_SPACE}|$))"
-_LED = re.compile(rf"{_SPACE}*{_WORD}|(?<={_LETTER}){_STOP}+(?={_SPACE}|$)|{_SPACE}*[^\t-\r ]+|{_SPACE}+")
-_STOPPED = re.compile(rf"(?<={_LETTER})({_STOP}+)(?={_SPACE}|$)")
-_GAP = re.compile(r"(?<=[^\t-\r ])[\t-\r ]")
-
-
-def LED(text: str) -> list[str]:
-    """Chunks with the white space before them; only characters that every splitting pattern counts as space."""
-    return _LED.findall(text)
-
-
-def BARE(text: str) -> list[str]:
-    """Chunks alone, for tokenizers that drop white space; for texts without other white space than [\t-\r ]."""
-    return _STOPPED.sub(r" \1", text).split()
-
-
-def blocks(text: str, size: int = 1 << 20):
+_LETTER, _SPACE, _STOP = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[[32, *range(9, 14)]] = _SPACE
+_KIND[list(b".,;:!?|")] = _STOP
+#: Other characters that some libraries count as space; texts with any are encoded as one chunk.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
+# First bytes that these characters have in UTF-8.
+_MAY_BE_SPACE = np.zeros(256, bool)
+_MAY_BE_SPACE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_GAP = re.compile(rb"(?<=[^\t-\r ])[\t-\r ]")
+# U+0130 is not among the letters: in lower case it ends with a mark that is none.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-įı-ȿ]+"
+_SPACED_WORD, _WORD = re.compile(f" {_LETTERS}"), re.compile(_LETTERS)
+
+
+def chunk_starts(data: np.ndarray, separators: np.ndarray) -> np.ndarray:
+    """Where chunks start in the UTF-8 bytes of texts, each followed by a line end at its place in separators.
+
+    A chunk is a run of white space and the run of other characters behind it; stop marks that end such a run
+    after a letter are a chunk of their own. Each separator is a chunk alone.
+    """
+    kind = _KIND[data]
+    space, stop = kind == _SPACE, kind == _STOP
+    start = np.empty(len(data), bool)
+    start[0] = True
+    np.greater(space[1:], space[:-1], out=start[1:])
+    start[separators] = True
+    start[separators[:-1] + 1] = True
+    edges = np.flatnonzero(stop[1:] != stop[:-1]) + 1  # the last byte is a line end, so each run of stops ends
+    if stop[0]:
+        edges = edges[1:]
+    first, behind = edges[::2], edges[1::2]
+    last, lead = data[first - 1], data[np.maximum(first - 2, 0)]
+    accented = (last >= 0x80) & (last < 0xC0) & (lead >= 0xC3) & (lead <= 0xC8) & ~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7))) & ~((lead == 0xC4) & (last == 0xB0))
+    start[first[space[behind] & ((kind[first - 1] == _LETTER) | accented)]] = True
+    return np.flatnonzero(start)
+
+
+def parts_of(text: bytes, size: int = 1 << 20) -> Iterable[bytes]:
     """A long text in parts that begin where chunks do."""
     start = 0
     while start < len(text):
@@ -41,109 +65,143 @@ def blocks(text: str, size: int = 1 << 20):
         start = end
 
 
-_LETTERS_ALONE = re.compile(f"{_LETTER}+")
-#: Other characters that some libraries count as space; texts with any are encoded as one chunk.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+def joined(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of lists in one array, and the lists' sizes."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
 
 
 class ChunkMemo:
-    """Ids of chunks; `fresh` encodes a list of new ones."""
+    """Ids of chunks; `fresh` encodes a list of new ones to all their ids and each one's number of ids."""
 
-    def __init__(self, fresh, chunks, limit: int = 1_000_000, step: int = 200_000):
-        self.fresh, self.chunks, self.limit, self.step = fresh, chunks, limit, step
+    def __init__(self, fresh: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000, step: int = 1 << 23):
+        self.fresh, self.limit, self.step = fresh, limit, step
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.starts, self.sizes, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 14, np.int32), 0
-
-    def _learn(self, new: list[str]) -> None:
-        for chunk, ids in zip(new, self.fresh(new), strict=True):
-            n = len(ids)
-            k = len(self.place)
-            if k == len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * k), np.resize(self.sizes, 2 * k)
-            if self.used + n > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * (self.used + n))
-            self.flat[self.used : self.used + n] = ids
-            self.starts[k], self.sizes[k] = self.used, n
-            self.place[chunk] = k
-            self.used += n
-
-    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all parts together, and how many each part has."""
-        new = list(set(parts).difference(self.place))
+        self.place: dict[bytes, int] = {}
+        self.starts, self.sizes, self.flat, self.used, self.held = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 14, np.int32), 0, 0
+
+    def _learn(self, new: list[bytes]) -> None:
+        flat, sizes = self.fresh([x.decode("utf-8", "replace") for x in new])
+        k, n = len(self.place), len(self.place) + len(new)
+        if n > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * n), np.resize(self.sizes, 2 * n)
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * (self.used + len(flat)))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[k:n], self.sizes[k:n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.place.update(zip(new, range(k, n), strict=True))
+        self.used += len(flat)
+        self.held += sum(map(len, new))
+
+    def _places(self, chunks: list[bytes]) -> np.ndarray:
+        """Places of distinct chunks in the memo."""
+        new = [x for x in chunks if x not in self.place]
         if new:
-            if len(self.place) + len(new) > self.limit or self.used > 16 * self.limit:
+            if len(self.place) + len(new) > self.limit or max(self.used, self.held) > 16 * self.limit:
                 self._clear()
-                new = list(set(parts))
+                new = chunks
             self._learn(new)
-        at = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
-        sizes = self.sizes[at]
+        return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = b"\n".join([*texts, b""])
+        raw = np.frombuffer(data, np.uint8)
+        separators = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+        starts = chunk_starts(raw, separators)
+        bounds = np.append(starts, len(raw)).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        at = self._places(chunks.dictionary.to_pylist())[chunks.indices.to_numpy()]
+        sizes, begins = self.sizes[at], self.starts[at]
+        ends_of = np.searchsorted(starts, separators)
+        sizes[ends_of] = 0
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)], sizes
+        ids = self.flat[np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1])]
+        found = np.split(ids, ends[ends_of][:-1])
+        odd = np.unique(np.searchsorted(separators, np.flatnonzero(_MAY_BE_SPACE[raw])))
+        for i in odd:
+            text = texts[i].decode("utf-8", "replace")
+            if OTHER_SPACE.search(text):
+                found[i] = self.fresh([text])[0]
+        return found
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, given in UTF-8."""
         out: list[np.ndarray] = []
-        parts: list[str] = []
-        counts: list[int] = []
-
-        def flush():
-            if counts:
-                ids, sizes = self._ids(parts)
-                ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
-                out.extend(np.split(ids, ends[:-1]))
-                parts.clear()
-                counts.clear()
-
+        held: list[bytes] = []
+        size = 0
         for text in texts:
-            if OTHER_SPACE.search(text):
-                flush()
-                out.append(np.asarray(self.fresh([text])[0], np.int32))
-            elif len(text) > 1 << 21:  # a very long text goes in parts
-                flush()
-                out.append(np.concatenate([self._ids(self.chunks(x))[0] for x in blocks(text)]))
-            else:
-                own = self.chunks(text)
-                parts += own
-                counts.append(len(own))
-                if len(parts) >= self.step:
-                    flush()
-        flush()
-        return out
+            if len(text) > self.step and not OTHER_SPACE.search(text.decode("utf-8", "replace")):  # goes in parts
+                if held:
+                    out += self._ids(held)
+                    held, size = [], 0
+                out.append(np.concatenate([self._ids([x])[0] for x in parts_of(text)]))
+                continue
+            held.append(text)
+            size += len(text)
+            if size >= self.step:
+                out += self._ids(held)
+                held, size = [], 0
+        return out + self._ids(held) if held else out
 
 
 _loaded: dict = {}
 
 
-def library_memo(path: str, chunks) -> ChunkMemo:
-    """A memo over a tokenizers file, one for each Python worker."""
+def library_memo(path: str) -> ChunkMemo:
+    """A memo over a tokenizers file, one for each Python worker.
+
+    New chunks that are plain words are encoded as one text and its ids cut by words: at the marks that ends of words
+    have, or, for byte-level vocabularies, by the bytes that each token covers.
+    """
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         tokenizer = Tokenizer.from_file(path)
         many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        ends = np.array([i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")])
-        is_end = np.zeros(tokenizer.get_vocab_size(), bool)
-        is_end[ends.astype(int)] = True
-
-        def fresh(new: list[str]) -> list:
-            out: list = [None] * len(new)
-            # Where tokens mark the ends of words, words of letters alone go as one text, cut at the marks.
-            words = [i for i, x in enumerate(new) if _LETTERS_ALONE.fullmatch(x)] if len(ends) and chunks is BARE else []
-            if words:
-                ids = np.array(many([" ".join(new[i] for i in words)], add_special_tokens=False)[0].ids, np.int32)
-                parts = np.split(ids, np.flatnonzero(is_end[ids]) + 1)[:-1]
-                if len(parts) == len(words):
-                    for i, part in zip(words, parts, strict=True):
-                        out[i] = part
-            rest = [i for i, x in enumerate(out) if x is None]
-            for i, x in zip(rest, many([new[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = x.ids
-            return out
-
-        _loaded[path] = ChunkMemo(fresh, chunks)
+        vocab = tokenizer.get_vocab()
+        byte_level = isinstance(tokenizer.pre_tokenizer, ByteLevel) and tokenizer.normalizer is None
+        covers, is_end = np.zeros(max(vocab.values()) + 1, np.int64), np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            covers[i], is_end[i] = len(token), token.endswith("</w>")
+        plain = _SPACED_WORD if byte_level else _WORD
+
+        def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            return joined([x.ids for x in many(texts, add_special_tokens=False)])
+
+        def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids = encode(["".join(words) if byte_level else " ".join(words)])[0]
+            if byte_level:
+                ends = np.cumsum([len(x.encode()) for x in words])
+                reached = np.cumsum(covers[ids])
+                cuts = np.searchsorted(reached, ends)
+                whole = len(reached) > 0 and reached[-1] == ends[-1] and bool((reached[cuts] == ends).all())
+            else:
+                cuts = np.flatnonzero(is_end[ids])
+                whole = len(cuts) == len(words) and cuts[-1] == len(ids) - 1
+            return (ids, np.diff(cuts, prepend=-1)) if whole else encode(words)
+
+        def fresh(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            if not byte_level:
+                new = [x.strip(" \t\n\x0b\x0c\r") for x in new]
+            if not byte_level and not is_end.any():
+                return encode(new)
+            is_plain = np.fromiter((plain.fullmatch(x) is not None for x in new), bool, len(new))
+            if not is_plain.any():
+                return encode(new)
+            order = np.argsort(~is_plain, kind="stable")  # plain words first
+            words, rest = [new[i] for i in np.flatnonzero(is_plain)], [new[i] for i in np.flatnonzero(~is_plain)]
+            (a, a_sizes), (b, b_sizes) = encode_words(words), encode(rest)
+            ids, sizes = np.concatenate([a, b]), np.concatenate([a_sizes, b_sizes])
+            back = np.empty(len(new), np.int64)
+            back[order] = np.arange(len(new))
+            begins = (np.cumsum(sizes) - sizes)[back]
+            sizes = sizes[back]
+            ends = np.cumsum(sizes)
+            return ids[np.repeat(begins - ends + sizes, sizes) + np.arange(len(ids))], sizes
+
+        _loaded[path] = ChunkMemo(fresh)
     return _loaded[path]

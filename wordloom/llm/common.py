@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: The white space of the contracts: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
 
+#: Spark's own value of spark.sql.execution.arrow.maxBytesPerBatch.
+_DEFAULT_BYTES = "67108864b"
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -39,6 +42,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose Arrow batches to Python hold 4 MB or a row, where the session does not say otherwise."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == _DEFAULT_BYTES:
+        spark.conf.set(key, str(1 << 22))
+    return df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a folder below the shared one; a missing folder is no error."""
     jvm = spark.sparkContext._jvm
@@ -56,10 +67,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def by_bytes(batch: pa.RecordBatch, column: int, size: int = 1 << 23):
+def by_bytes(batch: pa.RecordBatch, column: int, size: int = 1 << 22):
     """Slices of a batch, in order, whose text or binary column holds about size bytes; a longer row stands in one slice."""
     held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
     cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), batch.num_rows]
     for start, end in zip(cuts, cuts[1:]):
         if end > start:
             yield batch.slice(start, end - start)
+    pa.default_memory_pool().release_unused()

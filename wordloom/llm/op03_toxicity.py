@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import by_bytes, small_batches, utf8
 
 BITS = 20
 
@@ -106,7 +106,7 @@ def _features_of(docs: DataFrame) -> list[np.ndarray]:
             data = [make(t).astype("<u4").tobytes() for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
-    return [np.frombuffer(r["data"], "<u4") for r in sorted(docs.mapInArrow(run, "doc_id long, data binary").collect(), key=lambda r: (r["doc_id"], bytes(r["data"])))]
+    return [np.frombuffer(r["data"], "<u4") for r in sorted(small_batches(docs).mapInArrow(run, "doc_id long, data binary").collect(), key=lambda r: (r["doc_id"], bytes(r["data"])))]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n_positive: int = 2000, n_unlabelled: int = 4000, default_prior: float = 0.1, **kw) -> tuple[np.ndarray, float]:
@@ -131,12 +131,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
 
     def run(batches):
         make = Features()
-        for batch in batches:
-            w = weights.value
+        w = weights.value
+        for batch in (x for b in batches for x in by_bytes(b, 1)):
             g = np.array([bias + float(w[make(t)].sum(dtype=np.float64)) for t in utf8(batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(g, -30, 30))), pa.float64())], names=["doc_id", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
     held = F.coalesce((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) == 0, F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

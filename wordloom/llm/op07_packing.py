@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, stored, utf8
+from .common import by_bytes, small_batches, stored, utf8
 from .tokens import library_memo
 
 
@@ -41,7 +41,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
                     names=["doc_id", "n_tokens", "ids", "part", "before"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, part int, before long")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, part int, before long")
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:

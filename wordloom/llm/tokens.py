@@ -74,7 +74,7 @@ def joined(lists: list) -> tuple[np.ndarray, np.ndarray]:
 class ChunkMemo:
     """Ids of chunks; `fresh` encodes a list of new ones to all their ids and each one's number of ids."""
 
-    def __init__(self, fresh: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000, step: int = 1 << 23):
+    def __init__(self, fresh: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000, step: int = 1 << 22):
         self.fresh, self.limit, self.step = fresh, limit, step
         self._clear()
 
@@ -102,7 +102,8 @@ class ChunkMemo:
             if len(self.place) + len(new) > self.limit or max(self.used, self.held) > 16 * self.limit:
                 self._clear()
                 new = chunks
-            self._learn(new)
+            for i in range(0, len(new), 50_000):
+                self._learn(new[i : i + 50_000])
         return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
 
     def _ids(self, texts: list[bytes]) -> list[np.ndarray]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +44,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the machine: idle workers keep theirs while other stages run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, whose Arrow batches to Python hold 4 MB or a row, where the session does not say otherwise."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -74,4 +84,3 @@ def by_bytes(batch: pa.RecordBatch, column: int, size: int = 1 << 22):
     for start, end in zip(cuts, cuts[1:]):
         if end > start:
             yield batch.slice(start, end - start)
-    pa.default_memory_pool().release_unused()

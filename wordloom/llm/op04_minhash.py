@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import by_bytes, give_back, small_batches, stored, utf8
 
 _ODD = np.random.default_rng(4).integers(1, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(44).integers(1, 1 << 63, 512, dtype=np.uint64)
@@ -79,7 +79,7 @@ def tensored_keys(halves: np.ndarray, m: int) -> np.ndarray:
 
 def signatures(docs: DataFrame, words: int, m: int, r: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in by_bytes(b, 1)):
             n, low, high, signs = [], [], [], []
             for text in utf8(batch.column(1)):
                 own = shingle_set(text, words)
@@ -89,8 +89,9 @@ def signatures(docs: DataFrame, words: int, m: int, r: int) -> DataFrame:
                 high.append(int.from_bytes(key[8:], "little", signed=True))
                 signs.append(minhashes(own, 2 * m * r).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "sign"])
+        give_back()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sign binary")
+    return small_batches(docs).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sign binary")
 
 
 def table_rows(members: DataFrame, m: int, r: int) -> DataFrame:
@@ -104,16 +105,18 @@ def table_rows(members: DataFrame, m: int, r: int) -> DataFrame:
                 keys = tensored_keys(half_keys(signs, m, r), m)
                 docs = np.repeat(part.column(0).to_numpy(), m * m)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(docs)], names=["key", "doc"])
+        give_back()
 
     return members.select("doc", "sign").mapInArrow(run, "key long, doc long")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in by_bytes(b, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in utf8(batch.column(1))], pa.binary())], names=["doc", "items"])
+        give_back()
 
-    return docs.mapInArrow(run, "doc long, items binary")
+    return small_batches(docs).mapInArrow(run, "doc long, items binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,6 +133,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 hit.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        give_back()
 
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("one")), "a").join(sets.select(F.col("doc").alias("b"), F.col("items").alias("two")), "b")
     return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, small_batches, stored, utf8
+from .common import by_bytes, give_back, small_batches, stored, utf8
 from .tokens import library_memo
 
 
@@ -40,6 +40,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
                     [own.column(0), pa.array(sizes), pa.array([x.astype(kind).tobytes() for x in data], pa.binary()), pa.array(np.full(len(data), part, np.int32)), pa.array(starts)],
                     names=["doc_id", "n_tokens", "ids", "part", "before"],
                 )
+        memo.trim()
+        give_back()
 
     return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, part int, before long")
 

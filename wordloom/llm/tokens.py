@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +82,15 @@ class ChunkMemo:
         self.place: dict[bytes, int] = {}
         self.starts, self.sizes, self.flat, self.used, self.held = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 14, np.int32), 0, 0
 
+    def trim(self, keep: int = 150_000) -> None:
+        """Forgets all but the chunks met first, which are the more frequent ones on the whole."""
+        if len(self.place) > keep:
+            self.place = dict(islice(self.place.items(), keep))
+            self.starts, self.sizes = self.starts[:keep].copy(), self.sizes[:keep].copy()
+            self.used = int((self.starts + self.sizes).max())
+            self.flat = self.flat[: self.used].copy()
+            self.held = sum(map(len, self.place))
+
     def _learn(self, new: list[bytes]) -> None:
         flat, sizes = self.fresh([x.decode("utf-8", "replace") for x in new])
         k, n = len(self.place), len(self.place) + len(new)

@@ -249,6 +249,28 @@ def test_license_span_with_a_gap(spark):
     assert got == {1: "gpl", 2: ""}
 
 
+def test_license_lines(spark):
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+        "Licensed under the GNU Lesser General Public Licence v2.1 or later.": "lgpl",
+        "Distributed under the GNU Affero General Public License.": "agpl",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "Released under the MIT License.": "mit",
+        "Licensed under the Apache License, Version 2.0.": "apache-2",
+        "Apache License, Version 1.1": "apache-1",
+        "Subject to the Mozilla Public License, v. 2.0.": "mpl-2",
+        "Text: Creative Commons Attribution-ShareAlike 3.0 Unported": "cc-by-sa",
+        "Image: CC BY-SA 4.0": "cc-by-sa",
+        "Photo: CC BY 4.0": "cc-by",
+        "// SPDX-License-Identifier: GPL-2.0-only": "gpl",
+        "BSD 3-Clause": "bsd",
+        "The general public may license the work.": "",
+    }
+    df = spark.createDataFrame([(i, f"Some words before it.\n{x}\nAnd more after it.") for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in rows(op08_license_scan.license_scan(df))}
+    assert [got[i] for i in range(len(lines))] == list(lines.values())
+
+
 def test_token_files(docs, none):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     got = rows(op09_token_files.token_files(docs, P.path("byte_bpe_50k.json")))

@@ -4,9 +4,10 @@ All rolling word 3-grams of all texts are joined by hash (and then by their word
 Each match votes for a diagonal, its place in the text less its place in the template; votes are added up by
 document, template and diagonal. Diagonals at most `slack` apart form one span, so words put in or left out do not
 break it, and a span holds if the template places it covers reach `coverage` of the template. A phrase of the base
-list holds where all its 3-grams vote for one diagonal, that is, where its words stand one after the other.
+list or a licence's name holds where all its 3-grams vote for one diagonal, that is, where its words stand one after
+the other; names find the short lines that share too little with a passage.
 
-The templates' 3-grams are a few hundred rows, whatever the input, and are broadcast. No text is shuffled.
+The templates' 3-grams are about a thousand rows, whatever the input, and are broadcast. No text is shuffled.
 
 Defined results: null text counts as empty; texts without words have no places, no labels and score 0; equal rows
 are told apart by nothing and get the same result each; a null doc_id is matched like any other; an empty table gives
@@ -39,14 +40,66 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
 
+# Names of public licences as short notices give them, by label; the spelling "licence" is added below.
+_NAMES = {
+    "mit": ["the mit license", "mit open source license", "spdx license identifier mit"],
+    "apache-2": [
+        *("apache license 2 0", "apache license version 2 0", "apache license v 2 0", "apache license v2 0", "apache software license 2 0", "apache software license version 2 0", "apache public license 2 0"),
+        *("apache 2 0 license", "apache v2 0 license", "apache version 2 0 license", "spdx license identifier apache 2 0"),
+    ],
+    "apache-1": ["apache license version 1 1", "apache license 1 1", "apache software license version 1 1", "apache software license 1 1", "spdx license identifier apache 1 1"],
+    "bsd": [
+        *("the bsd license", "bsd style license", "new bsd license", "modified bsd license", "revised bsd license", "simplified bsd license"),
+        *(x for n in "234" for x in (f"bsd {n} clause", f"{n} clause bsd")),
+    ],
+    "gpl": [
+        *("gnu general public license", "the gnu gpl", "gnu gpl version", "gnu gpl license", "spdx license identifier gpl"),
+        *(x for n in "123" for x in (f"gnu gpl {n}", f"gnu gpl v{n}", f"gpl version {n}", f"gpl {n} 0", f"gpl v{n} license", f"the gpl v{n}")),
+    ],
+    "lgpl": [
+        *("gnu lesser general public license", "gnu library general public license", "the gnu lgpl", "gnu lgpl version", "gnu lgpl license", "spdx license identifier lgpl"),
+        *(x for n in ("2", "2 1", "3") for x in (f"gnu lgpl {n}", f"gnu lgpl v{n}", f"lgpl version {n}")), "lgpl 2 1", "lgpl 3 0",
+    ],
+    "agpl": ["gnu affero general public license", "the gnu agpl", "gnu agpl version", "gnu agpl v3", "gnu agpl 3", "agpl version 3", "agpl 3 0", "spdx license identifier agpl"],
+    "mpl-2": [
+        *("mozilla public license 2 0", "mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license v2 0", "mpl 2 0", "mpl version 2 0", "mpl v 2 0"),
+    ],
+    "mpl-1": ["mozilla public license 1 1", "mozilla public license version 1 1", "mozilla public license v 1 1", "mozilla public license v1 1", "mpl 1 1", "mpl version 1 1"],
+    "epl": ["eclipse public license", "spdx license identifier epl"],
+    "eupl": ["european union public license", "spdx license identifier eupl"],
+    "gfdl": ["gnu free documentation license", "the gnu fdl", "spdx license identifier gfdl"],
+    "isc": ["the isc license", "spdx license identifier isc"],
+    "zlib": ["the zlib license", "spdx license identifier zlib"],
+    "boost": ["boost software license", "spdx license identifier bsl 1 0"],
+    "artistic": ["the artistic license", "artistic license 1 0", "artistic license 2 0", "spdx license identifier artistic"],
+    "unlicense": ["under the unlicense", "spdx license identifier unlicense"],
+    "cc0": ["cc0 1 0", "creative commons zero", "creative commons cc0", "creative commons public domain dedication"],
+}
+
+# Creative Commons licences: the name's words by label. What follows tells a name from a longer one.
+_CC = {
+    "cc-by": ["attribution"],
+    "cc-by-sa": ["attribution sharealike", "attribution share alike"],
+    "cc-by-nd": ["attribution noderivatives", "attribution noderivs", "attribution no derivatives", "attribution no derivs"],
+    "cc-by-nc": ["attribution noncommercial", "attribution non commercial"],
+    "cc-by-nc-sa": ["attribution noncommercial sharealike", "attribution noncommercial share alike", "attribution non commercial sharealike", "attribution non commercial share alike"],
+    "cc-by-nc-nd": [f"attribution {nc} {nd}" for nc in ("noncommercial", "non commercial") for nd in ("noderivatives", "noderivs", "no derivatives", "no derivs")],
+}
+for _label, _spelt in _CC.items():
+    _short = _label.replace("-", " ")
+    _ends = ["license", "international", "unported", "1 0", "2 0", "2 5", "3 0", "4 0"]
+    _NAMES[_label] = [f"{words} {end}" for words in ("creative commons " + x for x in _spelt) for end in _ends] + [f"{_short} {end}" for end in _ends] + [f"creative commons {_short} {end}" for end in _ends]
+
+NAMES = {x: label for label, phrases in _NAMES.items() for phrase in phrases for x in (phrase, phrase if phrase.startswith("spdx") else phrase.replace("license", "licence"))}
+
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] | None = None, templates: dict[str, str] | None = None, coverage: float = 0.8, slack: int = 2) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] | None = None, templates: dict[str, str] | None = None, names: dict[str, str] | None = None, coverage: float = 0.8, slack: int = 2) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs."""
     spark = docs.sparkSession
-    base, templates = BASE if base is None else base, TEMPLATES if templates is None else templates
-    kinds = [*((text, label, True) for text, label in base.items()), *((text, label, False) for label, text in templates.items())]
-    grams = [(i, label, is_base, len(text.split()) - K + 1, at, " ".join(text.split()[at : at + K])) for i, (text, label, is_base) in enumerate(kinds) for at in range(len(text.split()) - K + 1)]
-    known = spark.createDataFrame(grams, "template int, label string, is_base boolean, n_grams int, at int, words string").withColumn("hash", F.xxhash64("words"))
+    base, templates, names = BASE if base is None else base, TEMPLATES if templates is None else templates, NAMES if names is None else names
+    kinds = [*((text, label, True, True) for text, label in base.items()), *((text, label, False, True) for text, label in names.items()), *((text, label, False, False) for label, text in templates.items())]
+    grams = [(i, label, is_base, whole, len(text.split()) - K + 1, at, " ".join(text.split()[at : at + K])) for i, (text, label, is_base, whole) in enumerate(kinds) for at in range(len(text.split()) - K + 1)]
+    known = spark.createDataFrame(grams, "template int, label string, is_base boolean, whole boolean, n_grams int, at int, words string").withColumn("hash", F.xxhash64("words"))
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
@@ -55,12 +108,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rolled = F.transform(F.sequence(F.lit(0), F.size("w") - K), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     rolled = words.select("doc_id", "mark", F.posexplode(rolled).alias("place", "gram")).withColumn("hash", F.xxhash64("gram"))
     votes = rolled.join(F.broadcast(known), (rolled["hash"] == known["hash"]) & (rolled["gram"] == known["words"]))
-    votes = votes.groupBy("doc_id", "mark", "template", "label", "is_base", "n_grams", (F.col("place") - F.col("at")).cast("long").alias("diagonal")).agg(F.collect_set("at").alias("covered"))
+    votes = votes.groupBy("doc_id", "mark", "template", "label", "is_base", "whole", "n_grams", (F.col("place") - F.col("at")).cast("long").alias("diagonal")).agg(F.collect_set("at").alias("covered"))
     key = Window.partitionBy("doc_id", "mark", "template").orderBy("diagonal")
-    far = F.col("is_base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(key) > slack, F.lit(True))
+    far = F.col("whole") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(key) > slack, F.lit(True))
     spans = votes.withColumn("far", far.cast("int")).withColumn("span", F.sum("far").over(key))
-    spans = spans.groupBy("doc_id", "mark", "template", "label", "is_base", "n_grams", "span").agg(F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("covered"))
-    spans = spans.withColumn("share", F.col("covered") / F.col("n_grams")).where(F.when(F.col("is_base"), F.col("covered") == F.col("n_grams")).otherwise(F.col("share") >= coverage))
+    spans = spans.groupBy("doc_id", "mark", "template", "label", "is_base", "whole", "n_grams", "span").agg(F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("covered"))
+    spans = spans.withColumn("share", F.col("covered") / F.col("n_grams")).where(F.when(F.col("whole"), F.col("covered") == F.col("n_grams")).otherwise(F.col("share") >= coverage))
     found = spans.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(
         F.sum(F.col("is_base").cast("long")).alias("n_base"),
         F.min(F.when(F.col("is_base"), F.col("start"))).alias("first_word"),

@@ -271,6 +271,27 @@ def test_license_lines(spark):
     assert [got[i] for i in range(len(lines))] == list(lines.values())
 
 
+def test_license_spans_are_verified(spark):
+    t = op08_license_scan.TEMPLATES
+    notices = {
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "cc-by-nc-sa",
+        t["gpl"]: "gpl",
+        t["gpl"].replace("program", "library").replace("gnu general", "gnu lesser general"): "lgpl",
+        t["gpl"].replace("gnu general", "gnu affero general"): "agpl",
+        t["apache-2"].replace("2 0", "1 1"): "apache-1",
+        t["mpl-2"].replace("2 0", "1 1"): "mpl-1",
+        t["mit"].replace("is hereby", "is not hereby"): "",
+        t["bsd"].replace("binary forms", "other binary forms"): "bsd",
+        t["mit"].replace("hereby ", "") + " not more": "mit",
+        **{text: label for label, text in t.items()},
+    }
+    df = spark.createDataFrame([(i, f"Lesser words, not of it. {x} and no other words") for i, x in enumerate(notices)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in rows(op08_license_scan.license_scan(df))}
+    assert [got[i] for i in range(len(notices))] == list(notices.values())
+
+
 def test_token_files(docs, none):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     got = rows(op09_token_files.token_files(docs, P.path("byte_bpe_50k.json")))

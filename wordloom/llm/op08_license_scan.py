@@ -1,9 +1,11 @@
 """License scans by diagonal voting, with DataFrame functions alone.
 
-All rolling word 3-grams of all texts are joined by hash (and then by their words) to the 3-grams of the templates.
+The rolling word 3-grams of all texts are joined by hash (and then by their words) to the 3-grams of the templates.
 Each match votes for a diagonal, its place in the text less its place in the template; votes are added up by
 document, template and diagonal. Diagonals at most `slack` apart form one span, so words put in or left out do not
-break it, and a span holds if the template places it covers reach `coverage` of the template. A phrase of the base
+break it, and a span holds if the template places it covers reach `coverage` of the template and its words, from the
+template's first to its last place, agree with the template in what tells licences apart (lesser, affero,
+noncommercial, sharealike, no derivatives, negations, a version that the template names). A phrase of the base
 list or a licence's name holds where all its 3-grams vote for one diagonal, that is, where its words stand one after
 the other; names find the short lines that share too little with a passage.
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 3
@@ -93,27 +95,55 @@ for _label, _spelt in _CC.items():
 NAMES = {x: label for label, phrases in _NAMES.items() for phrase in phrases for x in (phrase, phrase if phrase.startswith("spdx") else phrase.replace("license", "licence"))}
 
 
+# Words that make another licence, or its opposite, of the same passage; a span has the ones of its template and no others.
+_TELLING = r"\b(lesser|library(?= general)|affero|non ?commercial|share ?alike|no ?deriv|not\b|never\b|no longer)"
+_VERSION = r"\blicen[cs]e (?:version |v )?v?(\d+)"
+
+
+def _agrees(span: Column, passage: Column) -> Column:
+    """Whether a span's words tell of the same licence as the passage, and of its version where the passage names one."""
+    telling = lambda x: F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(_TELLING), F.lit(1)), lambda t: F.translate(t, " ", ""))))
+    version = lambda x: F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(_VERSION), F.lit(1))))
+    return (telling(span) == telling(passage)) & ((F.size(version(passage)) == 0) | (version(span) == version(passage)))
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] | None = None, templates: dict[str, str] | None = None, names: dict[str, str] | None = None, coverage: float = 0.8, slack: int = 2) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs."""
     spark = docs.sparkSession
     base, templates, names = BASE if base is None else base, TEMPLATES if templates is None else templates, NAMES if names is None else names
     kinds = [*((text, label, True, True) for text, label in base.items()), *((text, label, False, True) for text, label in names.items()), *((text, label, False, False) for label, text in templates.items())]
-    grams = [(i, label, is_base, whole, len(text.split()) - K + 1, at, " ".join(text.split()[at : at + K])) for i, (text, label, is_base, whole) in enumerate(kinds) for at in range(len(text.split()) - K + 1)]
-    known = spark.createDataFrame(grams, "template int, label string, is_base boolean, whole boolean, n_grams int, at int, words string").withColumn("hash", F.xxhash64("words"))
+    kinds = [(text.split(), *rest) for text, *rest in kinds]
+    grams = [(i, label, is_base, whole, words, len(words) - K + 1, at, " ".join(words[at : at + K])) for i, (words, label, is_base, whole) in enumerate(kinds) for at in range(len(words) - K + 1)]
+    known = spark.createDataFrame(grams, "template int, label string, is_base boolean, whole boolean, passage array<string>, n_grams int, at int, words string").withColumn("hash", F.xxhash64("words"))
+    longest = max((len(words) for words, _, _, whole in kinds if not whole), default=0)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
     lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     words = rows.select("doc_id", "mark", F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") >= K)
-    rolled = F.transform(F.sequence(F.lit(0), F.size("w") - K), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    rolled = words.select("doc_id", "mark", F.posexplode(rolled).alias("place", "gram")).withColumn("hash", F.xxhash64("gram"))
+    # Only 3-grams whose words all stand in their places in some template's 3-gram are made and joined; the rest cannot match.
+    able = [sorted({gram[-1].split()[i] for gram in grams}) for i in range(K)]
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - K), lambda i: F.get("w", i).isin(able[0]) & F.get("w", i + 1).isin(able[1]) & F.get("w", i + 2).isin(able[2]))
+    rolled = F.transform(places, lambda i: F.struct(i.alias("place"), F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("gram"), F.greatest(i - longest, F.lit(0)).alias("from"), F.slice("w", F.greatest(i - longest, F.lit(0)) + 1, F.lit(2 * longest + K)).alias("near")))
+    rolled = words.select("doc_id", "mark", F.explode(rolled).alias("r")).select("doc_id", "mark", "r.*").withColumn("hash", F.xxhash64("gram"))
     votes = rolled.join(F.broadcast(known), (rolled["hash"] == known["hash"]) & (rolled["gram"] == known["words"]))
-    votes = votes.groupBy("doc_id", "mark", "template", "label", "is_base", "whole", "n_grams", (F.col("place") - F.col("at")).cast("long").alias("diagonal")).agg(F.collect_set("at").alias("covered"))
+    near = F.transform("near", lambda x, i: F.struct((F.col("from") + i).alias("place"), x.alias("word")))
+    votes = votes.groupBy("doc_id", "mark", "template", "label", "is_base", "whole", "passage", "n_grams", (F.col("place") - F.col("at")).cast("long").alias("diagonal")).agg(
+        F.collect_set("at").alias("covered"), F.min("place").alias("first"), F.max("place").alias("last"), F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("whole"), near)))).alias("near")
+    )
     key = Window.partitionBy("doc_id", "mark", "template").orderBy("diagonal")
     far = F.col("whole") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(key) > slack, F.lit(True))
     spans = votes.withColumn("far", far.cast("int")).withColumn("span", F.sum("far").over(key))
-    spans = spans.groupBy("doc_id", "mark", "template", "label", "is_base", "whole", "n_grams", "span").agg(F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("covered"))
+    spans = spans.groupBy("doc_id", "mark", "template", "label", "is_base", "whole", "passage", "n_grams", "span").agg(
+        F.min("diagonal").alias("start"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("covered"),
+        F.min_by("diagonal", "first").alias("begin"),
+        (F.max_by("diagonal", "last") + F.size("passage")).alias("end"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"),
+    )
     spans = spans.withColumn("share", F.col("covered") / F.col("n_grams")).where(F.when(F.col("whole"), F.col("covered") == F.col("n_grams")).otherwise(F.col("share") >= coverage))
+    inside = F.transform(F.filter("near", lambda x: (x["place"] >= F.col("begin")) & (x["place"] < F.col("end"))), lambda x: x["word"])
+    spans = spans.where(F.col("whole") | _agrees(F.array_join(inside, " "), F.array_join("passage", " ")))
     found = spans.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(
         F.sum(F.col("is_base").cast("long")).alias("n_base"),
         F.min(F.when(F.col("is_base"), F.col("start"))).alias("first_word"),

@@ -114,6 +114,35 @@ def test_url_rules_are_mined(spark):
     assert {r["page_id"] for r in got if r["verdict"] == "block"} == {i for i in range(400) if i % 4 == 0 and i % 3}
 
 
+def fp_rules(spark, transactions, labels, least, confidence):
+    """The rules of FP-growth over whole transactions, without those that a shorter rule implies."""
+    from pyspark.ml.fpm import FPGrowth
+
+    baskets = spark.createDataFrame([([*t, "!bad" if y else "!good"],) for t, y in zip(transactions, labels)], "items array<string>")
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / len(labels), minConfidence=confidence).fit(baskets).associationRules
+    found = [(frozenset(r["antecedent"]), round(r["confidence"], 9)) for r in rows(found) if r["consequent"] == ["!bad"]]
+    return {(a, c) for a, c in found if not any(b < a and d >= c for b, d in found)}
+
+
+def mined(spark, transactions, labels, **kw):
+    pages = spark.createDataFrame(list(enumerate(transactions)), "page_id long, tokens array<string>")
+    marks = spark.createDataFrame(list(enumerate(labels)), "page_id long, rejected int")
+    return {(frozenset(r["tokens"]), round(r["confidence"], 9)) for r in op02_url_rules.mine(pages, marks, **kw)}
+
+
+def test_url_rules_are_mined_from_all_tokens(spark):
+    own = random.Random(3)
+    names = [f"t{i}" for i in range(13)]
+    transactions = [[x for x in names if own.random() < 0.65] + ["d:com"] for _ in range(300)]
+    labels = [int({"t1", "t7", "t11"} <= set(t) and own.random() < 0.9 or own.random() < 0.03) for t in transactions]
+    want = fp_rules(spark, transactions, labels, 30, 0.6)
+    assert max(map(len, transactions)) > 8 and len(want) > 3 and max(len(a) for a, _ in want) > 2
+    assert mined(spark, transactions, labels, min_rows=30) == want
+    # Tokens that always stand together do not multiply the sets.
+    long = [[f"q:{i}" for i in range(40)] + [f"p:{n % 2}"] for n in range(100)]
+    assert mined(spark, long, [n % 2 for n in range(100)]) == {(frozenset(["p:1"]), 1.0)}
+
+
 def test_toxicity(spark):
     bad = ["vile", "nasty"]
     texts = [(i, prose(40) + (" " + rng.choice(bad) + " " + prose(5) if i % 5 == 0 else "")) for i in range(1500)] + [(1500, None), (1501, ""), (None, "vile")]

@@ -1,14 +1,17 @@
 """URL filtering by association rules, with DataFrame and SQL functions alone.
 
-Given rules of host and path come first. For other URLs, FP-growth mines combinations of URL tokens that go with
-rejected pages: a transaction is a labelled page's tokens and its class. Rules enough supported and confident, with
+Given rules of host and path come first. For other URLs, combinations of URL tokens that go with rejected pages are
+mined: a transaction is a labelled page's tokens and its class. Rules enough supported and confident, with
 enough lift and not implied by a shorter rule as confident, are kept in an inverted index: an array of buckets by
 hash of each rule's rarest token. A URL looks up its own tokens there and checks the rest of each rule found, so
 matching needs no join and no shuffle.
 
-For mining, a transaction keeps its `width` most telling tokens of those that reach the support by themselves; with
-at most 2^width subsets of a transaction, the number of itemsets is bounded by 2^width / support, and so is what is
-broadcast and sent to the driver. Matching reads all tokens of all URLs.
+Mining reads every token of every labelled URL and finds the rules that FP-growth over the whole transactions gives
+once the implied ones are dropped. It grows sets of frequent tokens one token at a time and leaves out what cannot
+give a kept rule: sets under the support, sets that share their rows with a shorter one (as a domain and its parent
+do), and sets longer than one without accepted rows. The number of sets has no fixed bound: it depends on how many
+combinations of tokens are frequent, and each level of them is broadcast and sent to the driver. Matching reads all
+tokens of all URLs.
 
 Defined results: null urls and urls without "://" have empty host and path and are allowed; ties between given rules
 go to the first given; repeated rows are judged each; labels without page and pages without label do not teach;
@@ -21,11 +24,11 @@ import json
 import string
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_REJECTED, _ACCEPTED = "!rejected", "!accepted"
+from .common import stored
+
 _BUCKETS = 1024
 
 
@@ -70,29 +73,49 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(domains, segments, names, scheme))
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_rows: int = 10, min_confidence: float = 0.6, min_lift: float = 2.0, width: int = 8) -> list[dict]:
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_rows: int = 10, min_confidence: float = 0.6, min_lift: float = 2.0) -> list[dict]:
     """Rules: tokens (rarest first), confidence, support. pages: page_id, tokens; labels: page_id, rejected."""
-    known = pages.join(labels.groupBy("page_id").agg(F.max("rejected").alias("rejected")), "page_id")
+    known = stored(pages.join(labels.groupBy("page_id").agg(F.max("rejected").alias("rejected")), "page_id").select("rejected", "tokens"), "url-transactions")
+    spark = known.sparkSession
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("rejected"), F.lit(0)).alias("bad")).first()
     n, base = total["n"], (total["bad"] / total["n"] if total["n"] else 0)
     if not total["bad"]:
         return []
     least = max(min_rows, int(min_support * n))
-    each = known.select("rejected", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("rows"), F.sum("rejected").alias("bad")).where(F.col("rows") >= least)
-    each = each.withColumn("telling", F.abs(F.col("bad") - F.col("rows") * base) / F.sqrt("rows"))
-    # At most (tokens of a URL) / min_support tokens pass: no more with more rows.
-    picked = known.withColumn("row", F.monotonically_increasing_id()).select("row", "rejected", F.explode("tokens").alias("token")).join(F.broadcast(each), "token")
-    best = picked.groupBy("row", "rejected").agg(F.slice(F.sort_array(F.collect_list(F.struct("telling", "token")), asc=False), 1, width).alias("best"))
-    class_ = F.when(F.col("rejected") == 1, _REJECTED).otherwise(_ACCEPTED)
-    baskets = best.select(F.concat(F.transform("best", lambda x: x["token"]), F.array(class_)).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.col("consequent")[0] == _REJECTED) & ~F.array_contains("antecedent", _ACCEPTED) & (F.col("confidence") >= max(min_confidence, min_lift * base)))
-    rules = sorted(((frozenset(r["antecedent"]), r["confidence"], r["support"]) for r in rules.collect()), key=lambda r: (len(r[0]), sorted(r[0])))
-    rarity = {r["token"]: r["rows"] for r in each.collect()}
+    each = known.select("rejected", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("rows"), F.sum("rejected").alias("bad")).where(F.col("bad") >= least)
+    # At most (tokens of a URL) / min_support tokens pass: no more with more rows. Their numbers go up with their rows.
+    each = sorted(each.collect(), key=lambda r: (r["rows"], r["token"]))
+    if not each:
+        return []
+    numbers = spark.createDataFrame([(r["token"], i) for i, r in enumerate(each)], "token string, number int")
+    rows = known.withColumn("row", F.monotonically_increasing_id()).select("row", "rejected", F.explode("tokens").alias("token")).join(F.broadcast(numbers), "token")
+    rows = rows.groupBy("row", "rejected").agg(F.sort_array(F.collect_list("number")).alias("own"))
+    baskets = stored(rows.groupBy("own").agg(F.count("*").alias("rows"), F.sum("rejected").alias("bad")), "url-baskets")
+
+    def grown(sets: list[tuple[int, ...]]) -> dict[tuple[int, ...], tuple[int, int]]:
+        """Rows and rejected rows of each set with one number more, after its last, where rejected rows reach the support."""
+        table = spark.createDataFrame([(s[0], list(s)) for s in sets], "first int, set array<int>")
+        held = baskets.select("own", "rows", "bad", F.explode("own").alias("first")).join(F.broadcast(table), "first").where(F.size(F.array_except("set", "own")) == 0)
+        more = F.transform(F.filter("own", lambda x: x > F.element_at("set", -1)), lambda x: F.concat("set", F.array(x)))
+        counts = held.select("rows", "bad", F.explode(more).alias("set")).groupBy("set").agg(F.sum("rows").alias("rows"), F.sum("bad").alias("bad")).where(F.col("bad") >= least)
+        return {tuple(r["set"]): (r["rows"], r["bad"]) for r in counts.collect()}
+
+    found = level = {(i,): (r["rows"], r["bad"]) for i, r in enumerate(each)}
+    while level:
+        # Sets without accepted rows are not grown: no longer rule is more confident.
+        open_ = {s: c for s, c in level.items() if c[1] < c[0]}
+        level = grown(list(open_)) if open_ else {}
+        # A set with a subset of the same rows says nothing more than that subset, nor do the sets it would grow to.
+        level = {s: c for s, c in level.items() if all((own := open_.get(s[:i] + s[i + 1 :])) and own[0] > c[0] for i in range(len(s)))}
+        found = found | level
+    rules = [(s, bad, rows) for s, (rows, bad) in found.items() if bad / rows >= max(min_confidence, min_lift * base)]
+    rules.sort(key=lambda r: (len(r[0]), r[0]))
     kept: list[dict] = []
-    for items, confidence, support in rules:
-        if not any(set(k["tokens"]) < items and k["confidence"] >= confidence for k in kept):
-            kept.append({"tokens": sorted(items, key=lambda t: (rarity[t], t)), "confidence": confidence, "support": support})
+    shorter: dict[int, list[tuple[set, int, int]]] = {}
+    for items, bad, rows in rules:
+        if not any(k < set(items) and b * rows >= bad * r for i in items for k, b, r in shorter.get(i, ())):
+            kept.append({"tokens": [each[i]["token"] for i in items], "confidence": bad / rows, "support": bad / n})
+            shorter.setdefault(items[0], []).append((set(items), bad, rows))
     return kept
 
 

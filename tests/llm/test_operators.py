@@ -143,6 +143,17 @@ def test_url_rules_are_mined_from_all_tokens(spark):
     assert mined(spark, long, [n % 2 for n in range(100)]) == {(frozenset(["p:1"]), 1.0)}
 
 
+def test_url_rules_from_mostly_rejected_labels(spark):
+    urls = [f"{'http' if i % 10 else 'https'}://{'hot' if i % 10 else 'calm'}.org/{i}" for i in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = rows(op02_url_rules.url_filter(pages, labels, URL_RULES, min_confidence=0.95))
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == {i for i in range(300) if i % 10}
+    transactions = [["a"] * (n % 2) + ["b"] * (n % 3 > 0) + ["c"] for n in range(120)]
+    bad = [int(n % 4 > 0) for n in range(120)]
+    assert mined(spark, transactions, bad) == fp_rules(spark, transactions, bad, 10, 0.6)
+
+
 def test_toxicity(spark):
     bad = ["vile", "nasty"]
     texts = [(i, prose(40) + (" " + rng.choice(bad) + " " + prose(5) if i % 5 == 0 else "")) for i in range(1500)] + [(1500, None), (1501, ""), (None, "vile")]

@@ -1,8 +1,8 @@
 """URL filtering by association rules, with DataFrame and SQL functions alone.
 
 Given rules of host and path come first. For other URLs, combinations of URL tokens that go with rejected pages are
-mined: a transaction is a labelled page's tokens and its class. Rules enough supported and confident, with
-enough lift and not implied by a shorter rule as confident, are kept in an inverted index: an array of buckets by
+mined: a transaction is a labelled page's tokens and its class. Rules enough supported and confident and
+not implied by a shorter rule as confident are kept in an inverted index: an array of buckets by
 hash of each rule's rarest token. A URL looks up its own tokens there and checks the rest of each rule found, so
 matching needs no join and no shuffle.
 
@@ -73,12 +73,12 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(domains, segments, names, scheme))
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_rows: int = 10, min_confidence: float = 0.6, min_lift: float = 2.0) -> list[dict]:
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_rows: int = 10, min_confidence: float = 0.6) -> list[dict]:
     """Rules: tokens (rarest first), confidence, support. pages: page_id, tokens; labels: page_id, rejected."""
     known = stored(pages.join(labels.groupBy("page_id").agg(F.max("rejected").alias("rejected")), "page_id").select("rejected", "tokens"), "url-transactions")
     spark = known.sparkSession
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("rejected"), F.lit(0)).alias("bad")).first()
-    n, base = total["n"], (total["bad"] / total["n"] if total["n"] else 0)
+    n = total["n"]
     if not total["bad"]:
         return []
     least = max(min_rows, int(min_support * n))
@@ -108,7 +108,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_ro
         # A set with a subset of the same rows says nothing more than that subset, nor do the sets it would grow to.
         level = {s: c for s, c in level.items() if all((own := open_.get(s[:i] + s[i + 1 :])) and own[0] > c[0] for i in range(len(s)))}
         found = found | level
-    rules = [(s, bad, rows) for s, (rows, bad) in found.items() if bad / rows >= max(min_confidence, min_lift * base)]
+    rules = [(s, bad, rows) for s, (rows, bad) in found.items() if bad / rows >= min_confidence]
     rules.sort(key=lambda r: (len(r[0]), r[0]))
     kept: list[dict] = []
     shorter: dict[int, list[tuple[set, int, int]]] = {}

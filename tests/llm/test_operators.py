@@ -256,6 +256,28 @@ def test_cuckoo_filter():
     assert f.contains(keys[2500:]).all() and f.contains(keys[:2500]).mean() < 0.01
 
 
+def test_deletion_of_a_key_without_room():
+    keys = np.random.default_rng(2).integers(0, 1 << 63, 300_000, dtype=np.uint64)
+    f = op06_line_dedup.CuckooFilter(1)
+    prints, one, _ = f._places(keys)
+    same = np.flatnonzero((prints == prints[0]) & (one == one[0]))[:2]
+    held, listed = keys[same[:1]], keys[same[1:]]
+    assert f.insert(held) == [] and len(listed)
+    assert len(op06_line_dedup.change_cells(f, listed, listed, np.array([False]))) == 0
+    assert f.contains(held).all()
+    op06_line_dedup.change_cells(f, listed, held, np.array([False]))
+    assert not f.contains(held).any()
+
+
+def test_filters_grow_with_insertions(spark):
+    line = "a line long enough to be counted, by its number {}".format
+    table = lambda ids, ns: spark.createDataFrame([(i, "\n".join(map(line, ns))) for i in ids], "doc_id long, text string")
+    index = op06_line_dedup.LineIndex(spark, 2).insert(table([1, 2], [0])).insert(table([3, 4], range(1, 400)))
+    assert index.filters.agg(F.sum(F.size("rest")).alias("n")).first()["n"] == 0
+    got = {r["doc_id"]: r["n_dropped"] for r in rows(index.apply(table([3, 4], range(1, 400))))}
+    assert got == {3: 399, 4: 0}
+
+
 def test_packing(docs, none):
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     got = rows(op07_packing.pack(docs, P.path("word_bpe_49k.json"), window=64))

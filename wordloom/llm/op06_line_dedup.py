@@ -30,6 +30,8 @@ from .common import SPACE, stored, utf8
 FILTER_BYTES = 32 << 20
 #: Keys in one shard's filter, about.
 SHARD_KEYS = 200_000
+#: Share of a filter's places that may be taken.
+LOAD = 0.85
 
 
 class CuckooFilter:
@@ -41,7 +43,7 @@ class CuckooFilter:
     SLOTS = 4
 
     def __init__(self, capacity: int, table: bytes | None = None):
-        self.n = 1 << max(1, int(np.ceil(np.log2(max(1, capacity) / self.SLOTS / 0.85))))
+        self.n = 1 << max(1, int(np.ceil(np.log2(max(1, capacity) / self.SLOTS / LOAD))))
         self.table = np.zeros((self.n, self.SLOTS), np.uint16)
         if table is not None:
             self.table = np.frombuffer(table, np.uint16).reshape(-1, self.SLOTS).copy()
@@ -101,6 +103,16 @@ class CuckooFilter:
                     break
 
 
+def change_cells(filter_: CuckooFilter, listed: np.ndarray, keys: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Takes keys out of a filter and puts others (up) in; gives those without room, for the open list behind the cells.
+
+    Keys in that list (listed) have no fingerprint in the cells, so nothing is taken out there for them.
+    """
+    down = keys[~up]
+    filter_.delete(down[~np.isin(down, listed)])
+    return keys[up][filter_.insert(keys[up])]
+
+
 def line_key(line: bytes, min_chars: int) -> int | None:
     """128-bit key of a lower-cased line; None if it is too short to count."""
     line = line.strip(SPACE)
@@ -176,8 +188,9 @@ class LineIndex:
         else:
             was = before.where(F.col("n_docs") >= self.min_docs).select("k1", "k2")
             crossed = now.join(was, ["k1", "k2"], "left_anti").withColumn("up", F.lit(True)).unionByName(was.join(now, ["k1", "k2"], "left_anti").withColumn("up", F.lit(False)))
-        needed = max(1, -(-now.count() // SHARD_KEYS))
-        if self.filters is not None and needed > 4 * self.shards:  # shards have grown too large: all anew
+        n = now.count()
+        needed = max(1, -(-n // SHARD_KEYS))
+        if self.filters is not None and (needed > 4 * self.shards or n > LOAD * self._slots()):  # shards have grown too large or too full: all anew
             self.filters, crossed = None, now.withColumn("up", F.lit(True))
         if self.filters is None:
             self.shards = needed
@@ -191,10 +204,8 @@ class LineIndex:
             up = changes.column("up").to_numpy(zero_copy_only=False).astype(bool) if changes.num_rows else np.empty(0, bool)
             count = held.column("keys")[0].as_py() if held.num_rows else 0
             filter_ = CuckooFilter(2 * int(up.sum()) + 64, held.column("cells")[0].as_py() if held.num_rows else None)
-            filter_.delete(keys[~up])
-            full = filter_.insert(keys[up])
-            # What finds no room goes to an open list behind the cells, so that no key is lost.
-            rest = keys[up][full]
+            listed = (held.column("rest")[0].as_py() or []) if held.num_rows else []
+            rest = change_cells(filter_, np.array(listed, np.int64).view(np.uint64), keys, up)
             cells = filter_.table.tobytes()
             return pa.table({"shard": pa.array([shard], pa.int32()), "keys": pa.array([count + int(up.sum()) - int((~up).sum())], pa.int64()), "cells": pa.array([cells], pa.binary()), "rest": pa.array([rest.view(np.int64).tolist()], pa.list_(pa.int64()))})
 
@@ -203,6 +214,10 @@ class LineIndex:
         grown = old.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInArrow(_keeping_rest(run), "shard int, keys long, cells binary, rest array<long>")
         self.filters = stored(grown, "line-filters")
 
+    def _slots(self) -> int:
+        """Room for fingerprints in all filters."""
+        return self.filters.agg(F.coalesce(F.sum(F.length("cells")), F.lit(0)).alias("n")).first()["n"] // 2
+
     def candidates(self, docs: DataFrame) -> DataFrame:
         """For each row: its lines' number and, if a filter knows one of its keys, the text and those keys."""
         least, shards = self.min_chars, self.shards

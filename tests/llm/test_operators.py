@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wordloom.llm import op01_media, op02_url_rules, op03_toxicity, op04_minhash, op05_bpe, op06_line_dedup, op07_packing, op08_license_scan, op09_token_files, op10_exact_dedup
+from wordloom.llm import op01_media, op02_url_rules, op03_toxicity, op04_minhash, op05_bpe, op06_line_dedup, op07_packing, op08_license_scan, op09_token_files, op10_exact_dedup, tokens
 from wordloom.llm.queries import URL_RULES
 
 rng = random.Random(7)
@@ -215,7 +215,36 @@ def test_bpe_is_tiktoken(docs, none):
     assert model.merge(pieces) == [[ranks[p]] if p in ranks else model._merge_long(p) for p in pieces]
     with pytest.raises(ValueError):
         model.decode([10**6])
-    assert rows(op05_bpe.digests(op05_bpe.decode(op05_bpe.encode(none, path, P.PATTERN), path, P.PATTERN))) == []
+    digests = {r["doc_id"]: r for r in rows(op05_bpe.round_trip(docs, path, P.PATTERN))}
+    for i, text, *_ in ROWS:
+        ids = np.array(got[i]["ids"], "<u4")
+        assert (digests[i]["n_tokens"], digests[i]["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert digests[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+    assert rows(op05_bpe.round_trip(none, path, P.PATTERN)) == [] == rows(op05_bpe.decode(op05_bpe.encode(none, path, P.PATTERN), path, P.PATTERN))
+
+
+def test_bpe_with_other_patterns():
+    """Patterns that let tokens reach over words: nothing may be cut between them."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    texts = ["one two three. four", "", "a  b\n\nc d.", prose(300)]
+    for pattern in (r"(?s).{1,9}", r"\w+ \w+|.", r"(?s).+"):
+        tk = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        model = op05_bpe.ByteBpe.load(path, pattern)
+        assert [x.tolist() for x in model.memo.encode([t.encode() for t in texts])] == [tk.encode_ordinary(t) for t in texts]
+
+
+def test_memo_forgets_and_stays_right():
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    whole = tokens.library_memo(P.path("byte_bpe_50k.json"))
+    memo = tokens.ChunkMemo(whole.fresh, limit=50, step=400)
+    for _ in range(2):
+        texts = [prose(rng.randint(0, 60)) + rng.choice(["", "###", ".,*", "'s don't!!", "(x)? \"y\" <|endoftext|> z%%% "]) for _ in range(60)]
+        assert [x.tolist() for x in memo.encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(memo.place) < 400
+        memo.trim()
+        assert len(memo.place) <= 25
 
 
 def line_result(table, least=5):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import open_store, shared_folder, utf8
+from .common import by_bytes, give_back, open_store, settle, shared_folder, utf8
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -99,9 +99,9 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def finish():
             archive.close()
             out.close()
-            fs.move(name, f"{root}/part-{task.partitionId():06d}-{number:05d}.zip")
+            settle(fs, name, f"{root}/part-{task.partitionId():06d}-{number:05d}.zip")
 
-        for batch in batches:
+        for batch in (x for b in batches for x in by_bytes(b, 1)):
             for doc, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 if archive is None:
                     out = fs.open_output_stream(name)
@@ -115,6 +115,7 @@ def write_archives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if archive is not None:
             finish()
             number += 1
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64())], names=["archives"])
 
     docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "archives long").agg(F.sum("archives")).collect()

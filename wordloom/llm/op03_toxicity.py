@@ -18,12 +18,14 @@ null doc_id is never in the held-out fold and never used in training; only the n
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, small_batches, utf8
+from .common import by_bytes, give_back, utf8
 
 BITS = 20
 
@@ -102,11 +104,12 @@ def _features_of(docs: DataFrame) -> list[np.ndarray]:
 
     def run(batches):
         make = Features()
-        for batch in batches:
+        for batch in (x for b in batches for x in by_bytes(b, 1)):
             data = [make(t).astype("<u4").tobytes() for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "data"])
+        give_back()
 
-    return [np.frombuffer(r["data"], "<u4") for r in sorted(small_batches(docs).mapInArrow(run, "doc_id long, data binary").collect(), key=lambda r: (r["doc_id"], bytes(r["data"])))]
+    return [np.frombuffer(r["data"], "<u4") for r in sorted(docs.mapInArrow(run, "doc_id long, data binary").collect(), key=lambda r: (r["doc_id"], bytes(r["data"])))]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n_positive: int = 2000, n_unlabelled: int = 4000, default_prior: float = 0.1, **kw) -> tuple[np.ndarray, float]:
@@ -124,22 +127,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(pick(first), pick(other), prior, **kw)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs."""
-    weights = docs.sparkSession.sparkContext.broadcast(model[0])
+def scorer(spark: SparkSession, model: tuple[np.ndarray, float]) -> Callable[[Column], Column]:
+    """A function from a text column to its score; the other columns of a table stay in the JVM."""
+    weights = spark.sparkContext.broadcast(model[0])
     bias = model[1]
 
-    def run(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         make = Features()
         w = weights.value
-        for batch in (x for b in batches for x in by_bytes(b, 1)):
-            g = np.array([bias + float(w[make(t)].sum(dtype=np.float64)) for t in utf8(batch.column(1))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(g, -30, 30))), pa.float64())], names=["doc_id", "score"])
+        for column in batches:
+            g = [bias + float(w[make(t)].sum(dtype=np.float64)) for x in by_bytes(pa.record_batch([column], ["text"]), 0) for t in utf8(x.column(0))]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(g, np.float64), -30, 30))), pa.float64())
+        give_back()
 
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return F.arrow_udf(run, "double")
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), scorer(docs.sparkSession, model)(F.col(text_col).cast("string")).alias("score"))
     held = F.coalesce((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5) == 0, F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     return score(docs, train(docs, labels, **kw))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **kw) -> DataFrame:
+    """The rows of docs, with all their columns, that score below 0.5; each is judged by its own text, and none is moved."""
+    score_of = scorer(docs.sparkSession, train(docs, labels, text_col=text_col, **kw))
+    return docs.where(score_of(F.col(text_col).cast("string")) < 0.5)

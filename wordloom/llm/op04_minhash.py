@@ -7,21 +7,24 @@ Jaccard similarity s share a table with probability (1 - (1 - s^r)^m)^2: 0.9999
 
 1. Equal sets fall to one representative (128-bit hash of the sorted set), so copies cost nothing later.
 2. In each bucket every member meets the bucket's smallest member; never all pairs.
-3. Candidate pairs pass a size bound and a loose bound on equal minhashes (a true link fails it with probability
-   below 1e-6), then are verified on full sets, one partner for each document at a time, so that pairs whose ends
-   are already connected need no verification.
+3. Candidate pairs of the tables pass a size bound and a loose bound on equal minhashes (a true link fails it with
+   probability below 1e-6, and step 5 still finds it), then are verified on full sets, one partner for each document at
+   a time, so that pairs whose ends are already connected need no verification.
 4. Connected components come from minimum labels with pointer jumping, as tables.
 5. Documents in buckets that still hold several components are joined exactly among themselves by prefix
    filtering: each posts only its rarest items, one of which any similar set must share, and the places of a shared
    item bound what two sets can have in common. Postings whose members are in one component already drop out; the
    pairs of the others that the bound allows are listed, and while there are too many to look at, the member that
-   shares most meets all others of its posting and leaves it. So no link is lost, and the pairs of a
-   large group are never all made.
+   shares most meets all others of its posting and leaves it, in as many rounds as that takes. These pairs pass by
+   the bound on minhashes. So no link among these documents is lost, and the pairs of a large group are never all made.
+
+Inside, a document is a number of its class, whatever its doc_id. Tables of one row for each key are stored before rows
+are joined to them, so that the rows of a hot key can be split among tasks; hot classes and components are broadcast.
 
 Defined results: null or empty texts and texts without words have an empty set, belong to no other and keep
 themselves; equal sets are one class, whatever their texts; rows that share a doc_id get the component of their
-own text; a row with a null doc_id joins its class but never names it, and is kept only if no other row is in
-it; an empty table gives no rows; only the id and text columns are read.
+own text; a row with a null doc_id links like any other but names its component only if no other row can, and then the
+first by the row key alone is kept; an empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, give_back, small_batches, stored, utf8
+from .common import by_bytes, give_back, hot_join, scratch, stored, utf8, with_row
 
 _ODD = np.random.default_rng(4).integers(1, 1 << 63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(44).integers(1, 1 << 63, 512, dtype=np.uint64)
@@ -78,6 +81,8 @@ def tensored_keys(halves: np.ndarray, m: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, m: int, r: int) -> DataFrame:
+    """docs: doc_id, text, row."""
+
     def run(batches):
         for batch in (x for b in batches for x in by_bytes(b, 1)):
             n, low, high, signs = [], [], [], []
@@ -88,10 +93,10 @@ def signatures(docs: DataFrame, words: int, m: int, r: int) -> DataFrame:
                 low.append(int.from_bytes(key[:8], "little", signed=True))
                 high.append(int.from_bytes(key[8:], "little", signed=True))
                 signs.append(minhashes(own, 2 * m * r).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(signs, pa.binary()), batch.column(2)], names=["doc_id", "n_shingles", "k1", "k2", "sign", "row"])
         give_back()
 
-    return small_batches(docs).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sign binary")
+    return docs.select("doc_id", "text", "row").mapInArrow(run, f"doc_id long, n_shingles long, k1 long, k2 long, sign binary, row {docs.schema['row'].dataType.simpleString()}")
 
 
 def table_rows(members: DataFrame, m: int, r: int) -> DataFrame:
@@ -116,7 +121,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in utf8(batch.column(1))], pa.binary())], names=["doc", "items"])
         give_back()
 
-    return small_batches(docs).mapInArrow(run, "doc long, items binary")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, items binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -139,8 +144,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
-def _likely(pairs: DataFrame, members: DataFrame, percent: int, total: int) -> DataFrame:
-    """The pairs that sizes and equal minhashes allow."""
+def _likely(pairs: DataFrame, members: DataFrame, percent: int, total: int, sure: bool) -> DataFrame:
+    """The pairs that sizes and, unless sure, equal minhashes allow."""
+    side = lambda x, *more: members.select(F.col("doc").alias(x), F.col("n_shingles").alias(f"n_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in more))
+    sized = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    if sure:
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(sized).select("a", "b")
     bound = 0
     p = percent / 100
     chance = (1 - p) ** total  # of `bound` equal minhashes or fewer, at the least similarity
@@ -157,10 +166,8 @@ def _likely(pairs: DataFrame, members: DataFrame, percent: int, total: int) -> D
                 hit = (one == two).sum(axis=1) >= bound
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit))
 
-    side = lambda x, n, s: members.select(F.col("doc").alias(x), F.col("n_shingles").alias(n), F.col("sign").alias(s))
-    joined = pairs.join(side("a", "n1", "s1"), "a").join(side("b", "n2", "s2"), "b")
-    joined = joined.where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-    return joined.select("a", "b", "s1", "s2").mapInArrow(run, "a long, b long")
+    joined = pairs.join(side("a", "sign"), "a").join(side("b", "sign"), "b").where(sized)
+    return joined.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,17 +210,18 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 class _Linker:
     """Candidate pairs in, verified links and components out."""
 
-    def __init__(self, docs: DataFrame, members: DataFrame, words: int, percent: int, n_hashes: int, many: int):
-        self.docs, self.members, self.words, self.percent, self.n_hashes, self.many = docs, members, words, percent, n_hashes, many
+    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int, n_hashes: int, many: int):
+        self.docs, self.classes, self.words, self.percent, self.n_hashes, self.many = docs, classes, words, percent, n_hashes, many
+        self.rounds = 0
         spark = docs.sparkSession
         self.sets = spark.createDataFrame([], "doc long, items binary")
         self.met = spark.createDataFrame([], "a long, b long")
         self.comp = spark.createDataFrame([], "v long, comp long")
-        self.links: DataFrame | None = None
 
     def need_sets(self, ends: DataFrame) -> None:
         missing = ends.select("doc").distinct().join(self.sets.select("doc"), "doc", "left_anti")
-        texts = self.docs.select(F.col("doc_id").alias("doc"), "text").join(missing, "doc", "left_semi")
+        missing = stored(self.classes.select("doc", F.col("first.row").alias("row")).join(missing, "doc", "left_semi"), "missing")
+        texts = self.docs.select("row", "text").join(missing, "row")
         self.sets = self.sets.unionByName(stored(full_sets(texts, self.words), "sets"))
 
     def _open(self, pairs: DataFrame) -> DataFrame:
@@ -224,14 +232,16 @@ class _Linker:
     def _verify(self, pairs: DataFrame) -> None:
         links = stored(_verified(pairs, self.sets, self.percent), "links").distinct()
         if not links.isEmpty():
-            self.links = links if self.links is None else self.links.unionByName(links)
-            self.comp = components(self.links)
+            # A component's links, however many, are as good as those of its members to its smallest.
+            self.comp = components(links.unionByName(self.comp.select(F.col("v").alias("a"), F.col("comp").alias("b")).where("a <> b")))
 
-    def add(self, pairs: DataFrame) -> None:
-        pairs = stored(_likely(pairs.join(self.met, ["a", "b"], "left_anti"), self.members, self.percent, self.n_hashes), "pairs")
+    def add(self, pairs: DataFrame, sure: bool = False) -> None:
+        pairs = stored(_likely(pairs.join(self.met, ["a", "b"], "left_anti"), self.classes, self.percent, self.n_hashes, sure), "pairs")
         if pairs.isEmpty():
             return
-        self.met = self.met.unionByName(pairs)
+        self.met, self.rounds = self.met.unionByName(pairs), self.rounds + 1
+        if self.rounds % 8 == 0:  # unions of many tables make long plans
+            self.met, self.sets = stored(self.met, "met"), stored(self.sets, "sets")
         self.need_sets(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))))
         while True:
             # One partner for each document first; what is still open then is little as a rule, and goes at once.
@@ -245,25 +255,42 @@ class _Linker:
                 return
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, m: int = 10, r: int = 2, listed: int = 512) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, m: int = 10, r: int = 2, listed: int = 512, row_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
-    listed: so many remaining pairs for each representative are looked at at once.
+    listed: so many remaining pairs for each representative are looked at at once. With row_col, a column that is another
+    in each row, also `row`, and kept holds for one row of a component.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = stored(signatures(docs, words, m, r), "signatures")
-    classes = made.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_rows"))
-    classes = stored(classes.where("doc is not null"), "classes")
-    members = made.where("n_shingles > 0").withColumnRenamed("doc_id", "doc").join(classes, ["k1", "k2", "doc"], "left_semi")
-    members = stored(members.select("doc", "n_shingles", "sign"), "members")
+    docs = docs if row_col else with_row(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    docs = docs.select(F.col(id_col if row_col else "doc_id").cast("long").alias("doc_id"), F.col(text_col if row_col else "text").cast("string").alias("text"), F.col(row_col or "row").alias("row"))
+    with scratch() as keep:
+        made = stored(signatures(docs, words, m, r), "signatures")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+        classes = made.where("n_shingles > 0").groupBy("k1", "k2").agg(first, F.first("sign").alias("sign"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_rows"))
+        classes = stored(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
+        link = _Linker(docs, classes, words, percent, 2 * m * r, listed * max(100_000, classes.count()))
+        _link_all(classes, link, m, r, percent)
+        named = classes.select("doc", "first").join(link.comp.withColumnRenamed("v", "doc"), "doc")
+        names = stored(named.groupBy("comp").agg(F.min("first").alias("top"), F.count("*").alias("n")), "names")
+        tops = hot_join(link.comp, names, ["comp"], "n", "inner").select(F.col("v").alias("doc"), "top")
+        out = classes.select("doc", "k1", "k2", "first", "n_rows").join(tops, "doc", "left").where("n_rows > 1 or top is not null")
+        out = stored(out.select("k1", "k2", "n_rows", F.coalesce("top", "first").alias("top")), "class-components")
+        keep(made, out)
+    done = hot_join(made.select("doc_id", "n_shingles", "k1", "k2", "row"), out, ["k1", "k2"], "n_rows")
+    comp, is_first = F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")), F.coalesce(F.col("row") == F.col("top.row"), F.lit(True))
+    kept = is_first if row_col else F.when(comp.isNull(), is_first).otherwise(F.col("doc_id").eqNullSafe(comp))
+    return done.select("doc_id", "n_shingles", comp.alias("component_id"), kept.alias("kept"), *(["row"] if row_col else []))
+
+
+def _link_all(classes: DataFrame, link: _Linker, m: int, r: int, percent: int) -> None:
+    """Finds the links of all classes (steps 2 to 5)."""
+    members = classes.select("doc", "sign")
     rows = table_rows(members, m, r)
-    shared = rows.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
-    rows = stored(rows.join(shared, "key", "left_semi").distinct(), "table-rows")
-    link = _Linker(docs, members, words, percent, 2 * m * r, listed * max(100_000, members.count()))
+    hubs = stored(rows.groupBy("key").agg(F.min("doc").alias("b"), F.max("doc").alias("high")).where("b < high").select("key", "b"), "hubs")
+    rows = stored(table_rows(members, m, r).join(hubs, "key").distinct(), "table-rows")
     if not rows.isEmpty():
-        hubs = rows.groupBy("key").agg(F.min("doc").alias("b"))
-        link.add(rows.withColumnRenamed("doc", "a").join(hubs, "key").where("a <> b").select("a", "b").distinct())
-        rows = _mixed_buckets(rows, link)
+        link.add(rows.select(F.col("doc").alias("a"), "b").where("a <> b").distinct())
+        rows = _mixed_buckets(rows.select("key", "doc"), link)
     if not rows.isEmpty():
         link.need_sets(rows)
         rows = stored(prefixes(link.sets.join(rows.select("doc").distinct(), "doc", "left_semi"), percent), "table-rows")
@@ -274,20 +301,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             other = rows.select("key", F.col("doc").alias("b"), F.col("comp").alias("other"), F.col("n").alias("n2"), F.col("rest").alias("rest2"))
             found = rows.withColumnRenamed("doc", "a").join(other, "key")
             found = found.where(f"a > b and comp <> other and 100 * least(rest, rest2) >= {percent} * (n + n2 - least(rest, rest2))")
-            link.add(found.select("a", "b").distinct())
+            link.add(found.select("a", "b").distinct(), sure=True)
             break
         hubs = stored(rows.groupBy("key").agg(F.max(F.struct(F.col("rest") / F.col("n"), "doc", "comp")).alias("hub")).select("key", F.col("hub.doc").alias("b"), F.col("hub.comp").alias("other")), "hubs")
-        link.add(rows.withColumnRenamed("doc", "a").join(hubs, "key").where("a <> b and comp <> other").select("a", "b").distinct())
+        link.add(rows.withColumnRenamed("doc", "a").join(hubs, "key").where("a <> b and comp <> other").select("a", "b").distinct(), sure=True)
         rows = rows.join(hubs.select("key", F.col("b").alias("doc")), ["key", "doc"], "left_anti")  # it has met all others
         rows = stored(rows.select("key", "doc", "n", "rest"), "table-rows")
-    out = classes.join(link.comp.withColumnRenamed("v", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    out = stored(out.where("n_rows > 1 or comp <> doc").select("k1", "k2", "comp"), "class-components")
-    done = made.select("doc_id", "n_shingles", "k1", "k2").join(out, ["k1", "k2"], "left")
-    return done.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("comp", "doc_id")).alias("kept"))
 
 
 def _mixed_buckets(rows: DataFrame, link: _Linker) -> DataFrame:
     """The rows of buckets that hold several components, with `comp`."""
-    held = rows.drop("comp").join(link.comp.withColumnRenamed("v", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
+    held = stored(rows.drop("comp").join(link.comp.withColumnRenamed("v", "doc"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "held")
+    mixed = stored(held.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key"), "mixed")
     return stored(held.join(mixed, "key", "left_semi"), "table-rows")

@@ -17,12 +17,13 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, small_batches, utf8
-from .tokens import ChunkMemo, joined
+from .common import by_bytes, give_back, utf8
+from .tokens import ChunkMemo, WholeTexts, joined
 
 LONG = 4096
 _NONE = np.int32(2**31 - 1)
@@ -68,7 +69,7 @@ class PairTable:
 
 
 class ByteBpe:
-    """Ranks, where a token's rank is its id and any pair whose bytes are a token can merge."""
+    """Ranks, where a token's rank is its id and any pair whose bytes are a token can merge; pattern: without groups."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -76,7 +77,8 @@ class ByteBpe:
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         triples = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.pairs = PairTable(*np.array(triples, np.int32).reshape(-1, 3).T)
-        self.memo = ChunkMemo(lambda new: joined(self.encode_new(new)))
+        # Only of the public pattern is it known where a text can be cut.
+        self.memo = (ChunkMemo if pattern == public_tokenizers.PATTERN else WholeTexts)(lambda new: joined(self.encode_new(new)))
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
@@ -90,7 +92,7 @@ class ByteBpe:
         return self.memo.encode([x.encode() for x in texts])
 
     def encode_new(self, texts: list[str]) -> list[list[int]]:
-        split = [self.pattern.findall(t) for t in texts]
+        split = [[x for x in self.pattern.findall(t) if x] for t in texts]
         known = {x: None for parts in split for x in parts}
         for piece, ids in zip(known, self.merge([x.encode() for x in known]), strict=True):
             known[piece] = ids
@@ -173,12 +175,6 @@ class ByteBpe:
             raise ValueError(f"no token has the id {e}") from e
 
 
-def _sliced(batches, rows: int = 500):
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) of each text."""
 
@@ -189,30 +185,42 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])
+        model.memo.trim()
+        give_back()
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, ids and the decoded bytes of each row."""
+    """doc_id, ids and the decoded bytes of each row; null ids give no bytes."""
 
     def run(batches):
         model = ByteBpe.load(path, pattern)
-        for batch in _sliced(batches):
-            data = [model.decode(x.values) if x.is_valid else b"" for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                own = batch.slice(at, 500)
+                data = [model.decode(x.values) if x.is_valid else b"" for x in own.column(1)]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
+        give_back()
 
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, data binary")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, data binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of decode's rows."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of each text's ids, and of the bytes that they decode to.
 
-    def run(batches):
-        for batch in _sliced(batches):
-            ids = [hashlib.sha256(x.values.to_numpy().astype("<u4").tobytes()).hexdigest() for x in batch.column(1)]
-            n = [len(x) for x in batch.column(1)]
-            data = [hashlib.sha256(x).hexdigest() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    Encodes and decodes in one worker, so that a task needs one model and ids need not travel.
+    """
 
-    return decoded.select("doc_id", "ids", "data").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(batches):
+        model = ByteBpe.load(path, pattern)
+        for batch in (x for b in batches for x in by_bytes(b, 1)):
+            out = [[], [], []]
+            for ids in model.memo.encode(utf8(batch.column(1))):
+                for column, x in zip(out, (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(model.decode(ids)).hexdigest()), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        model.memo.trim()
+        give_back()
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,8 +6,9 @@ each key. Keys found in at least `min_docs` documents also stand in the cuckoo f
 cross the bound upwards are inserted, keys that cross it downwards are deleted. A filter answers for nearly all
 lines that they stay; the exact table decides the rest.
 
-Keys are 128-bit hashes. Filters are broadcast only while all of them together are at most `FILTER_BYTES`; beyond
-that every key goes to the join with the exact table instead.
+Keys are 128-bit hashes. Filters are broadcast while all of them together are at most `FILTER_BYTES`, and then texts
+whose lines all stay are never moved. Beyond that, the keys of the documents go to their shard's filter instead, in
+groups of about `GROUP_KEYS` that a hash of the document deals out, so that a very common line is asked for in many tasks.
 
 Defined results: null or empty text is one empty line; each row counts as a document, rows that share a doc_id
 included; a null doc_id counts but never is the largest, and its lines stay; an empty table gives no rows; only
@@ -24,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored, utf8
+from .common import SPACE, by_bytes, give_back, hot_join, scratch, stored, utf8
 
 #: Most bytes of filters that are broadcast.
 FILTER_BYTES = 32 << 20
 #: Keys in one shard's filter, about.
 SHARD_KEYS = 200_000
+#: Keys of documents that are asked of one filter at once, about.
+GROUP_KEYS = 1_000_000
 #: Share of a filter's places that may be taken.
 LOAD = 0.85
 
@@ -144,7 +147,7 @@ class LineIndex:
         least = self.min_chars
 
         def run(batches):
-            for batch in batches:
+            for batch in (x for b in batches for x in by_bytes(b, 1)):
                 ids, keys, ns = [], [], []
                 for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                     own = set(line_keys(text, least))
@@ -154,6 +157,7 @@ class LineIndex:
                 low, high = _halves(keys)
                 ns = np.full(len(ids), sign, np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(ids, pa.int64()), pa.array(ns)], names=["k1", "k2", "doc_id", "sign"])
+            give_back()
 
         return docs.mapInArrow(run, "k1 long, k2 long, doc_id long, sign int")
 
@@ -218,21 +222,21 @@ class LineIndex:
         """Room for fingerprints in all filters."""
         return self.filters.agg(F.coalesce(F.sum(F.length("cells")), F.lit(0)).alias("n")).first()["n"] // 2
 
-    def candidates(self, docs: DataFrame) -> DataFrame:
-        """For each row: its lines' number and, if a filter knows one of its keys, the text and those keys."""
+    def candidates(self, docs: DataFrame, texts: bool, filter_bytes: int) -> DataFrame:
+        """For each row: its lines' number and, if a filter may know one of its keys (or texts is asked for), the text; and those keys."""
         least, shards = self.min_chars, self.shards
         size = self.filters.agg(F.coalesce(F.sum(F.length("cells") + 8 * F.size("rest")), F.lit(0)).alias("n")).first()["n"]
         known = None
-        if size <= FILTER_BYTES:
+        if size <= filter_bytes:
             known = self.spark.sparkContext.broadcast({r["shard"]: (r["cells"], r["rest"]) for r in self.filters.collect()})
 
         def run(batches):
             filters = {}
             if known is not None:
                 filters = {s: (CuckooFilter(1, bytes(cells)), set(rest or ())) for s, (cells, rest) in known.value.items()}
-            for batch in batches:
-                texts = utf8(batch.column(1))
-                split = [line_keys(t, least) for t in texts]
+            for batch in (x for b in batches for x in by_bytes(b, 1)):
+                whole = utf8(batch.column(1))
+                split = [line_keys(t, least) for t in whole]
                 flat = [k for keys in split for k in keys if k is not None]
                 low, high = _halves(flat)
                 hit = np.ones(len(flat), bool)
@@ -245,31 +249,51 @@ class LineIndex:
                         if rest:
                             hit[own] |= np.isin(low[own], list(rest))
                 out, at = [[] for _ in range(4)], 0
-                for text, keys in zip(texts, split, strict=True):
+                for text, keys in zip(whole, split, strict=True):
                     n = sum(k is not None for k in keys)
                     which = np.flatnonzero(hit[at : at + n]) + at
                     at += n
                     found = dict.fromkeys(zip(low[which].tolist(), high[which].tolist(), strict=True))
-                    for part, x in zip(out, (len(keys), None if found else hashlib.sha256(text).hexdigest(), text.decode() if found else None, [{"k1": a, "k2": b} for a, b in found]), strict=True):
+                    for part, x in zip(out, (len(keys), None if found else hashlib.sha256(text).hexdigest(), text.decode() if found or texts else None, [{"k1": a, "k2": b} for a, b in found]), strict=True):
                         part.append(x)
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, kind) for x, kind in zip(out, kinds, strict=True))], names=["doc_id", "n_lines", "whole_sha256", "text", "keys"])
+            give_back()
 
         return docs.mapInArrow(run, "doc_id long, n_lines long, whole_sha256 string, text string, keys array<struct<k1: long, k2: long>>")
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+    def known(self, keys: DataFrame) -> DataFrame:
+        """The rows of keys (doc_id, k1, k2) whose filter knows the key, each asked where its shard's filter is."""
+        n, shards = keys.count(), self.shards
+        salts = max(1, -(-n // (shards * GROUP_KEYS)))
+        keys = keys.withColumn("shard", F.pmod("k2", F.lit(shards)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+        filters = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+        def run(key, held: pa.Table, asked: pa.Table) -> pa.Table:
+            asked = asked.select(["doc_id", "k1", "k2"])
+            if not held.num_rows or not asked.num_rows:
+                return asked.slice(0, 0)
+            own = asked.column("k1").to_numpy()
+            hit = CuckooFilter(1, held.column("cells")[0].as_py()).contains(own.view(np.uint64)) | np.isin(own, held.column("rest")[0].as_py() or [])
+            return asked.filter(pa.array(hit))
+
+        return filters.groupBy("shard", "salt").cogroup(keys.groupBy("shard", "salt")).applyInArrow(run, "doc_id long, k1 long, k2 long")
+
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, filter_bytes: int = FILTER_BYTES) -> DataFrame:
         """doc_id, n_lines, n_dropped, kept_sha256 (and kept_text, where texts is asked for) of each row of docs."""
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        if texts:
-            whole = F.coalesce("text", F.lit(""))
-        found = stored(self.candidates(docs), "line-candidates")
-        keys = found.where("size(keys) > 0").select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.k1", "k.k2")
-        lost = keys.join(self.hot().select("k1", "k2", "keep_id"), ["k1", "k2"]).where("doc_id < keep_id")
-        lost = lost.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("lost"))
+        with scratch() as keep:
+            found = stored(self.candidates(docs, texts, filter_bytes), "line-candidates")
+            keys = found.where("size(keys) > 0").select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.k1", "k.k2")
+            size = self.filters.agg(F.coalesce(F.sum(F.length("cells") + 8 * F.size("rest")), F.lit(0)).alias("n")).first()["n"]
+            keys = keys if size <= filter_bytes else self.known(keys)
+            lost = hot_join(keys, self.hot().select("k1", "k2", "n_docs", "keep_id"), ["k1", "k2"], "n_docs", "inner").where("doc_id < keep_id")
+            lost = stored(lost.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("lost")), "lost-lines")
+            keep(found, lost)
         least = self.min_chars
 
         def run(batches):
-            for batch in batches:
+            for batch in (x for b in batches for x in by_bytes(b, 2)):
                 out = [[], [], []]
                 for text, lost in zip(utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                     lines = text.split(b"\n")
@@ -284,15 +308,13 @@ class LineIndex:
                     for part, x in zip(out, (len(lines) - len(stay), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None), strict=True):
                         part.append(x)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text"])
+            give_back()
 
         changed = found.where("whole_sha256 is null").join(lost, "doc_id", "left").select("doc_id", "n_lines", "text", "lost")
         changed = changed.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
-        same = found.where("whole_sha256 is not null").select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), F.col("whole_sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
+        same = found.where("whole_sha256 is not null").select("doc_id", "n_lines", F.lit(0).cast("long").alias("n_dropped"), F.col("whole_sha256").alias("kept_sha256"), F.col("text").alias("kept_text"))
         out = same.unionByName(changed)
-        if not texts:
-            return out.drop("kept_text")
-        own = docs.select(F.col("doc_id").alias("own_id"), whole.alias("own_text"))
-        return out.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")), "left").select("doc_id", "n_lines", "n_dropped", "kept_sha256", F.coalesce("kept_text", "own_text").alias("kept_text"))
+        return out if texts else out.drop("kept_text")
 
 
 def _keeping_rest(run):

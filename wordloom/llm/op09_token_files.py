@@ -1,6 +1,6 @@
 """Token-id files: frequency-ranked ids in byte-aligned variable-length code with separate control bytes.
 
-All ids are counted over the corpus and replaced by their rank, so frequent ids take one byte. Four ids share a
+All ids are counted over the corpus, while it is tokenized, and replaced by their rank, so frequent ids take one byte. Four ids share a
 control byte of four 2-bit sizes; sizes and data lie in separate streams, and a reader finds each value's place by
 looking the control bytes up in a table of 256 rows, with numpy and no loop over ids.
 
@@ -11,7 +11,7 @@ after file. A file is written under its attempt's name and renamed when it is wh
 half of one. The rank table stands beside the files.
 
 Defined results: null text counts as empty; an empty text is its end id alone; null doc_ids come first; rows that
-share a doc_id stand in the order of their ids' bytes; an empty table gives no rows; only the id and text columns
+share a doc_id stand in the order of their number of ids, then of a hash of these; an empty table gives no rows; only the id and text columns
 are read.
 """
 
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import open_store, shared_folder, stored
+from .common import give_back, open_store, scratch, settle, shared_folder, stored
 from .op07_packing import offsets, tokenized, unpacked
 
 MARK = 0x31534449_4B4E5254
@@ -75,23 +75,26 @@ def blocks(f):
         yield docs, np.split(values, np.cumsum(sizes)[:-1])
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, vocab: int = 1 << 16) -> tuple[str, DataFrame]:
+def write_token_files(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[str, DataFrame]:
     """Writes the files; their folder, and a table of them: file, first id's place, number of ids."""
-    spark = docs.sparkSession
+    with scratch():
+        return _written(stored(tokenized(docs, path, end_id, id_col, text_col, counted=True), "tokens"), folder)
+
+
+def _written(rows: DataFrame, folder: str | None) -> tuple[str, DataFrame]:
+    spark = rows.sparkSession
     folder = folder or shared_folder(spark, "token-files")
-    rows = stored(tokenized(docs, path, end_id, id_col, text_col), "tokens")
 
     def count(batches):
-        total = np.zeros(vocab, np.int64)
         for batch in batches:
-            rows = [unpacked(data, n) for data, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            total += np.bincount(np.concatenate(rows), minlength=vocab)
-        own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(total[own])], names=["id", "n"])
+            for seen in batch.column(0).to_pylist():
+                own, n = np.frombuffer(seen, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["id", "n"])
 
-    seen = rows.select("ids", "n_tokens").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()  # a row for each id of the vocabulary at most
+    tables = rows.where("seen is not null").select("seen")  # one for each task that tokenized
+    seen = tables.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").collect()  # a row for each id of the vocabulary at most
     by_rank = np.array([r["id"] for r in seen], "<u4")
-    rank = np.zeros(vocab, np.uint32)
+    rank = np.zeros(int(by_rank.max()) + 1 if len(by_rank) else 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
     fs, root = open_store(folder)
     fs.create_dir(root, recursive=True)
@@ -117,10 +120,13 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 2, id_col: str =
             if docs_:
                 f.write(block(docs_, held))
             f.close()
-            fs.move(name, f"{root}/part-{part:06d}")
+            settle(fs, name, f"{root}/part-{part:06d}")
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([part] if f else [], pa.int32()), pa.array([total] if f else [], pa.int64())], names=["part", "n"])
 
-    ordered = rows.select("doc_id", "n_tokens", "ids").repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids")
+    # Many rows of one doc_id are dealt out by their order among themselves; equal rows by where they were.
+    order = ["doc_id", "n_tokens", "tie", "part", "before"]
+    ordered = rows.select("doc_id", "n_tokens", "ids", F.xxhash64("ids").alias("tie"), "part", "before").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
     done = sorted((r["part"], r["n"]) for r in ordered.mapInArrow(write, "part int, n long").collect())
     base = offsets(done)
     return folder, spark.createDataFrame([(f"part-{p:06d}", base[p], n) for p, n in done], "file string, first long, n long").repartition(max(1, len(done)))
@@ -141,6 +147,7 @@ def read_token_files(folder: str, files: DataFrame) -> DataFrame:
                         starts = at + np.cumsum(n) - n
                         at += int(n.sum())
                         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts), pa.array(n), pa.array([by_rank[x].tobytes() for x in values], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+        give_back()
 
     return files.select("file", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op01_media, op02_url_rules, op03_toxicity, op04_minhash, op05_bpe, op06_line_dedup, op07_packing, op08_license_scan, op09_token_files, op10_exact_dedup
-from .common import read
+from .common import read, small_batches
 
 # The given rules of the URL filter.
 URL_RULES = [
@@ -18,6 +20,17 @@ URL_RULES = [
 ]
 
 
+def _production(query):
+    """The query, in a session whose Arrow batches are small."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_media.media_columns(read(spark, sf_dir, "documents"))
 
@@ -36,7 +49,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return op05_bpe.digests(op05_bpe.decode(op05_bpe.encode(read(spark, sf_dir, "documents"), path, pattern), path, pattern))
+    return op05_bpe.round_trip(read(spark, sf_dir, "documents"), path, pattern)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +84,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup_,
 }
+QUERIES = {name: _production(query) for name, query in QUERIES.items()}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -8,10 +8,11 @@ the ids of the chunks it has met, up to a bound, and encodes only new ones.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ _LETTER, _SPACE, _STOP = 1, 2, 3
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
 _KIND[[32, *range(9, 14)]] = _SPACE
-_KIND[list(b".,;:!?|")] = _STOP
+_KIND[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~")] = _STOP  # not those of contractions (') and of ends of special tokens (>)
 #: Other characters that some libraries count as space; texts with any are encoded as one chunk.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
 # First bytes that these characters have in UTF-8.
@@ -72,34 +73,47 @@ def joined(lists: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ChunkMemo:
-    """Ids of chunks; `fresh` encodes a list of new ones to all their ids and each one's number of ids."""
+    """Ids of chunks; `fresh` encodes a list of new ones to all their ids and each one's number of ids.
 
-    def __init__(self, fresh: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000, step: int = 1 << 22):
+    Holds about `limit` chunks (more only while one step of `step` bytes has more) and 16 * limit bytes and ids of them;
+    beyond that, and at a task's end, it forgets the half that fewest steps have met.
+    """
+
+    def __init__(self, fresh: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000, step: int = 1 << 22):
         self.fresh, self.limit, self.step = fresh, limit, step
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.starts, self.sizes, self.flat, self.used, self.held = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 14, np.int32), 0, 0
+        self.starts, self.sizes, self.hits = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
+        self.flat, self.used, self.held = np.zeros(1 << 14, np.int32), 0, 0
 
-    def trim(self, keep: int = 150_000) -> None:
-        """Forgets all but the chunks met first, which are the more frequent ones on the whole."""
-        if len(self.place) > keep:
-            self.place = dict(islice(self.place.items(), keep))
-            self.starts, self.sizes = self.starts[:keep].copy(), self.sizes[:keep].copy()
-            self.used = int((self.starts + self.sizes).max())
-            self.flat = self.flat[: self.used].copy()
-            self.held = sum(map(len, self.place))
+    def trim(self, keep: int | None = None) -> None:
+        """Forgets all but the `keep` chunks met most often."""
+        keep = self.limit // 2 if keep is None else keep
+        n = len(self.place)
+        if n <= keep and max(self.used, self.held) <= 8 * self.limit:
+            return
+        names = list(self.place)
+        best = np.argsort(-self.hits[:n], kind="stable")[:keep]
+        sizes = self.sizes[best] + np.fromiter((len(names[i]) for i in best), np.int64, len(best))
+        best = best[: max(1, int(np.searchsorted(np.cumsum(sizes), 8 * self.limit)))]
+        sizes = self.sizes[best]
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.repeat(self.starts[best] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        self.place = {names[i]: k for k, i in enumerate(best.tolist())}
+        self.starts, self.sizes, self.hits = ends - sizes, sizes, self.hits[best] >> 1
+        self.flat, self.used, self.held = flat, len(flat), sum(map(len, self.place))
 
     def _learn(self, new: list[bytes]) -> None:
         flat, sizes = self.fresh([x.decode("utf-8", "replace") for x in new])
         k, n = len(self.place), len(self.place) + len(new)
         if n > len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * n), np.resize(self.sizes, 2 * n)
+            self.starts, self.sizes, self.hits = (np.resize(x, n + n // 2) for x in (self.starts, self.sizes, self.hits))
         if self.used + len(flat) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (self.used + len(flat)))
+            self.flat = np.resize(self.flat, (self.used + len(flat)) * 3 // 2)
         self.flat[self.used : self.used + len(flat)] = flat
-        self.starts[k:n], self.sizes[k:n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.starts[k:n], self.sizes[k:n], self.hits[k:n] = self.used + np.cumsum(sizes) - sizes, sizes, 0
         self.place.update(zip(new, range(k, n), strict=True))
         self.used += len(flat)
         self.held += sum(map(len, new))
@@ -109,11 +123,13 @@ class ChunkMemo:
         new = [x for x in chunks if x not in self.place]
         if new:
             if len(self.place) + len(new) > self.limit or max(self.used, self.held) > 16 * self.limit:
-                self._clear()
-                new = chunks
+                self.trim()
+                new = [x for x in chunks if x not in self.place]
             for i in range(0, len(new), 50_000):
                 self._learn(new[i : i + 50_000])
-        return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        places = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        self.hits[places] += 1
+        return places
 
     def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
         data = b"\n".join([*texts, b""])
@@ -156,6 +172,38 @@ class ChunkMemo:
         return out + self._ids(held) if held else out
 
 
+class WholeTexts:
+    """Stands for a memo where texts cannot be cut into chunks: encodes each whole."""
+
+    def __init__(self, fresh: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], step: int = 1 << 22):
+        self.fresh, self.step = fresh, step
+
+    def trim(self) -> None:
+        """Holds nothing."""
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        held: list[str] = []
+        size = 0
+        for i, text in enumerate(texts):
+            held.append(text.decode("utf-8", "replace"))
+            size += len(text)
+            if size >= self.step or i == len(texts) - 1:
+                flat, sizes = self.fresh(held)
+                out += np.split(flat, np.cumsum(sizes)[:-1])
+                held, size = [], 0
+        return out
+
+
+#: The parts of a tokenizers file, without vocabulary, whose texts can be cut into chunks: kinds of (normalizer, pre-tokenizer).
+_GPT = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+_WORD_ENDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
 _loaded: dict = {}
 
 
@@ -163,17 +211,19 @@ def library_memo(path: str) -> ChunkMemo:
     """A memo over a tokenizers file, one for each Python worker.
 
     New chunks that are plain words are encoded as one text and its ids cut by words: at the marks that ends of words
-    have, or, for byte-level vocabularies, by the bytes that each token covers.
+    have, or, for byte-level vocabularies, by the bytes that each token covers. Files whose normalizer and pre-tokenizer
+    are none of the two known kinds have their texts encoded whole.
     """
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         tokenizer = Tokenizer.from_file(path)
+        parts = {k: v if v is None else json.loads(v.__getstate__()) for k, v in (("n", tokenizer.normalizer), ("p", tokenizer.pre_tokenizer))}
         many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
         vocab = tokenizer.get_vocab()
-        byte_level = isinstance(tokenizer.pre_tokenizer, ByteLevel) and tokenizer.normalizer is None
+        kind = (parts["n"], parts["p"])
+        byte_level = kind == _GPT
         covers, is_end = np.zeros(max(vocab.values()) + 1, np.int64), np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             covers[i], is_end[i] = len(token), token.endswith("</w>")
@@ -213,5 +263,5 @@ def library_memo(path: str) -> ChunkMemo:
             ends = np.cumsum(sizes)
             return ids[np.repeat(begins - ends + sizes, sizes) + np.arange(len(ids))], sizes
 
-        _loaded[path] = ChunkMemo(fresh)
+        _loaded[path] = ChunkMemo(fresh) if kind in (_GPT, _WORD_ENDS) else WholeTexts(encode)
     return _loaded[path]

@@ -340,6 +340,56 @@ def test_license_span_with_a_gap(spark):
     assert got == {1: "gpl", 2: ""}
 
 
+def words_apart(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_license_texts_with_changes(spark):
+    """Whole licences with words put in, left out or replaced: found as far as their words in order agree."""
+    own, table, want = random.Random(8), [], {}
+    for label in ("mit", "isc", "zlib", "agpl"):
+        text = op08_license_scan.plain_words(op08_license_scan.TEXTS[label])
+        for share in (0, 0.03, 0.05, 0.5, 0.7):
+            made = []
+            for w in text:
+                kind = own.random()
+                made += [] if kind < share / 3 else [w, "qq"] if kind < 2 * share / 3 else ["zz"] if kind < share else [w]
+            i = len(table)
+            table.append((i, " ".join([prose(30), *made, prose(30)])))
+            want[i] = (label, words_apart(made, text) / len(text))
+        rolled = [w for at in range(len(text) - 2) for w in text[at : at + 3]]  # each 3-gram in turn: all votes, but no passage
+        table.append((len(table), " ".join(rolled)))
+        want[len(table) - 1] = (label, 1.0)
+    got = {r["doc_id"]: r for r in rows(op08_license_scan.license_scan(spark.createDataFrame(table, "doc_id long, text string"), names={}, templates=list(op08_license_scan.TEXTS.items())))}
+    for i, (label, apart) in want.items():
+        assert got[i]["labels"] == (label if apart < 0.1 else "") or 0.1 <= apart <= 0.3, (i, label, apart, got[i])
+        if apart < 0.1:
+            assert 1 - apart - 0.02 <= got[i]["score"] <= 1
+
+
+def test_license_words_and_telling_words(spark):
+    odd = ["", "a", "A\x00b\x7fc|d~e`F[G]", "École à 5€ x_y-z", "  two\n\tlines\r\n", "日本 語"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", op08_license_scan.words_of(F.col("t")).alias("w"))
+    assert {r["i"]: r["w"] for r in rows(df)} == {i: op08_license_scan.plain_words(t) for i, t in enumerate(odd)}
+    kinds = [("under the mit license".split(), "mit", True, True), ("one two three four five six seven eight nine ten".split(), "x", False, False)]
+    telling = set(op08_license_scan.telling_words(kinds, 0.8))
+    assert telling & set(kinds[0][0]) and sum(not telling & set(kinds[1][0][i : i + 3]) for i in range(8)) < 0.8 * 8
+
+
+def test_license_scan_of_odd_tables(spark):
+    line = "Licensed under the Apache License, Version 2.0."
+    table = [(1, line, "x"), (1, line, "x"), (None, line, None), (2, None, "y"), (3, f"{prose(40_000)} {line} {prose(10)}", "z"), (4, " ".join([line] * 50), "z")]
+    got = rows(op08_license_scan.license_scan(spark.createDataFrame(table, "doc_id long, text string, labels string")))
+    assert sorted((str(r["doc_id"]), r["labels"], r["n_base"]) for r in got) == [("1", "apache-2", 1), ("1", "apache-2", 1), ("2", "", 0), ("3", "apache-2", 1), ("4", "apache-2", 50), ("None", "apache-2", 1)]
+    four = next(r for r in got if r["doc_id"] == 4)
+    assert (four["first_word"], four["last_word"]) == (3, 3 + 49 * 8)
+
+
 def test_license_lines(spark):
     lines = {
         "This work is licensed under the GNU General Public License, version 3.": "gpl",

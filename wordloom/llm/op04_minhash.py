@@ -13,7 +13,8 @@ Jaccard similarity s share a table with probability (1 - (1 - s^r)^m)^2: 0.9999
 4. Connected components come from minimum labels with pointer jumping, as tables.
 5. Documents in buckets that still hold several components are joined exactly among themselves by prefix
    filtering: each posts only its rarest items, one of which any similar set must share, and the places of a shared
-   item bound what two sets can have in common. Postings whose members are in one component already drop out; the
+   item bound what two sets can have in common, as the parities of hashed items (1,024 bits for a set) bound in how
+   many they differ. Postings whose members are in one component already drop out; the
    pairs of the others that the bound allows are listed, and while there are too many to look at, the member that
    shares most meets all others of its posting and leaves it, in as many rounds as that takes. These pairs pass by
    the bound on minhashes. So no link among these documents is lost, and the pairs of a large group are never all made.
@@ -207,6 +208,27 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return held.select("doc", "n", "most", F.posexplode("held").alias("at", "h")).select(F.col("h.item").alias("key"), "doc", "n", (F.col("most") - F.col("at")).alias("rest"))
 
 
+_WORDS = 16
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """(doc, p0 to p15): for each of 1,024 hash values, whether an odd number of the set's items has it.
+
+    Each bit that differs between two sets stands for an item, at least, that is in one of them alone.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = np.zeros((batch.num_rows, _WORDS), np.uint64)
+            for i, items in enumerate(batch.column(1)):
+                odd = np.bincount(np.frombuffer(items.as_py(), np.uint64) & np.uint64(64 * _WORDS - 1), minlength=64 * _WORDS) & 1
+                out[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, k].view(np.int64)) for k in range(_WORDS))], names=["doc", *(f"p{k}" for k in range(_WORDS))])
+        give_back()
+
+    return sets.select("doc", "items").mapInArrow(run, "doc long, " + ", ".join(f"p{k} long" for k in range(_WORDS)))
+
+
 class _Linker:
     """Candidate pairs in, verified links and components out."""
 
@@ -293,14 +315,18 @@ def _link_all(classes: DataFrame, link: _Linker, m: int, r: int, percent: int) -
         rows = _mixed_buckets(rows.select("key", "doc"), link)
     if not rows.isEmpty():
         link.need_sets(rows)
-        rows = stored(prefixes(link.sets.join(rows.select("doc").distinct(), "doc", "left_semi"), percent), "table-rows")
+        sets = stored(link.sets.join(rows.select("doc").distinct(), "doc", "left_semi"), "open-sets")
+        rows, odd = stored(prefixes(sets, percent), "table-rows"), stored(parities(sets), "parities")
     while not rows.isEmpty():
         rows = _mixed_buckets(rows, link)
         left = rows.groupBy("key").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("n")).first()["n"]
         if left <= link.many:  # what remains, all at once
-            other = rows.select("key", F.col("doc").alias("b"), F.col("comp").alias("other"), F.col("n").alias("n2"), F.col("rest").alias("rest2"))
-            found = rows.withColumnRenamed("doc", "a").join(other, "key")
+            wide = stored(rows.join(odd, "doc"), "wide-rows")
+            other = wide.select("key", F.col("doc").alias("b"), F.col("comp").alias("other"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), *(F.col(f"p{k}").alias(f"q{k}") for k in range(_WORDS)))
+            found = wide.withColumnRenamed("doc", "a").join(other, "key")
             found = found.where(f"a > b and comp <> other and 100 * least(rest, rest2) >= {percent} * (n + n2 - least(rest, rest2))")
+            differ = " + ".join(f"bit_count(p{k} ^ q{k})" for k in range(_WORDS))
+            found = found.where(f"{100 + percent} * ({differ}) <= {100 - percent} * (n + n2)")
             link.add(found.select("a", "b").distinct(), sure=True)
             break
         hubs = stored(rows.groupBy("key").agg(F.max(F.struct(F.col("rest") / F.col("n"), "doc", "comp")).alias("hub")).select("key", F.col("hub.doc").alias("b"), F.col("hub.comp").alias("other")), "hubs")

@@ -1,20 +1,36 @@
-"""Native column functions: word splitting, character classes, byte mapping. No Python runs on executors."""
+"""Native column functions: word splitting, character classes, byte mapping. Python runs on executors for patterns with alternatives alone."""
 
 from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..model import LETTERS, WORD_PATTERN, TokenizerModel, java_classes
+from ..model import LETTERS, WORD_PATTERN, TokenizerModel, java_classes, longest_matches
 
 
 def split_words(text: Column, pattern: str | None = None) -> Column:
-    """The words of a text, or the matches of a pattern; null for null."""
+    """The words of a text, or the matches of a pattern, the longest at each place; null for null.
+
+    Java takes the first alternative that matches instead of the longest, so patterns with alternatives go to Python.
+    """
+    if pattern is not None and "|" in pattern:
+        return _longest(pattern)(text)
     return F.filter(F.regexp_extract_all(text, F.lit(WORD_PATTERN if pattern is None else java_classes(pattern)), F.lit(0)), lambda x: x != "")
 
 
+def _longest(pattern: str):
+    longest_matches(pattern)  # a wrong pattern is told of here
+
+    def run(texts: pa.Array) -> pa.Array:
+        matches = longest_matches(pattern).finditer
+        return pa.array([None if t is None else [x for m in matches(t) if (x := m.group())] for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")
+
+
 def class_counts(text: Column) -> dict[str, Column]:
     """Numbers of characters by class."""
     classes = {"alpha": f"[A-Za-z{LETTERS}]", "digit": "[0-9]", "space": r"[ \t\n\x0B\f\r]"}

@@ -10,12 +10,33 @@ from ..model import OUT_OF_RANGE, TokenizerModel
 
 
 
+#: Most rows of a table that is broadcast.
+SMALL = 2_000_000
+#: Words that a worker remembers, for each model.
+_WORDS = 300_000
+_memos: dict[str, dict[str, list[int]]] = {}
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has at most SMALL rows."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
+
+
 def encode_column(model: TokenizerModel):
-    """A function from a text column to its ids (array<int>); null for null. Words are encoded once in a task."""
-    memo: dict = {}
+    """A function from a text column to its ids (array<int>); null for null. A worker encodes each word it remembers once."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else model.encode(t, memo) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        memo = _memos.setdefault(model.key, {})
+        flat, sizes, valid = [], [0], []
+        for t in texts.to_pylist():
+            if t is not None:
+                flat += model.encode(t, memo)
+            valid.append(t is not None)
+            sizes.append(len(flat))
+            if len(memo) > _WORDS:
+                for word in list(memo)[_WORDS // 2 :]:  # those met first are the more frequent ones on the whole
+                    del memo[word]
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([not x for x in valid], pa.bool_()) if not all(valid) else None)
 
     return F.arrow_udf(run, "array<int>")
 
@@ -74,10 +95,10 @@ def decode_native(ids: Column, model: TokenizerModel) -> Column:
 
 
 def look_up(words: DataFrame, vocab: DataFrame, token: str = "token") -> DataFrame:
-    """Ids of words by a broadcast join (a vocabulary is small and of known size); -1 where there is none."""
-    return words.join(F.broadcast(vocab), token, "left").withColumn("id", F.coalesce("id", F.lit(-1)))
+    """Ids of words by a join, a broadcast one for vocabularies of at most SMALL tokens; -1 where there is none."""
+    return words.join(small(vocab), token, "left").withColumn("id", F.coalesce("id", F.lit(-1)))
 
 
 def out_of_vocabulary(words: DataFrame, vocab: DataFrame, token: str = "token") -> DataFrame:
     """Words that are no token, with their counts."""
-    return words.join(F.broadcast(vocab), token, "left_anti").groupBy(token).agg(F.count("*").alias("n"))
+    return words.join(small(vocab), token, "left_anti").groupBy(token).agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import format_vocab_line
@@ -54,7 +54,9 @@ def merge_pair(column: Column, pair: str, new: str) -> Column:
 def train(texts: DataFrame, vocab_size: int, order: str = "doc_id", text_col: str = "text", least: int = 2, first_id: int = 256, every: int = 8) -> tuple[dict[int, bytes], list[tuple[int, str, int]]]:
     """Tokens by id, and the log (id, pair, count). Stops at vocab_size, or when no pair occurs `least` times.
 
-    Every `every` rounds the texts are written to the shared folder and read again, which cuts the plan.
+    Pairs cross words, so rounds count whole texts. Every `every` rounds the texts are written to the shared folder
+    (spark.checkpoint.dir) and read again, which cuts the plan; what was written before goes. A pair cannot win twice:
+    after its round it stands nowhere.
     """
     if vocab_size < 256:
         raise RuntimeError("vocab_size must be at least 256.")
@@ -62,7 +64,7 @@ def train(texts: DataFrame, vocab_size: int, order: str = "doc_id", text_col: st
     rows = texts.select(F.col(order), as_ids(F.coalesce(F.col(text_col), F.lit(""))).alias("s"))
     tokens: dict[int, bytes] = {i: bytes([i]) for i in range(256)}
     log: list[tuple[int, str, int]] = []
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root, held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir(), None
     while len(tokens) < vocab_size:
         best = best_pair(pair_counts(rows, order))
         if best is None or best[1] < least:
@@ -75,16 +77,65 @@ def train(texts: DataFrame, vocab_size: int, order: str = "doc_id", text_col: st
             path = f"{root.rstrip('/')}/wordloom/train-{uuid.uuid4().hex}"
             rows.write.parquet(path)
             rows = spark.read.parquet(path)
+            _remove(spark, held)
+            held = path
+    _remove(spark, held)
     return tokens, log
 
 
+def _remove(spark: SparkSession, path: str | None) -> None:
+    if path:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def train_compat(text: str, vocab_size: int) -> list[tuple[str, int, int]]:
+    """What training without a least count makes of one short text when two faults of old vocabularies are kept.
+
+    For vocabularies that must come out as they once did: (token, id, count) by round. Faults: the places behind the
+    live symbols keep what they held before and are still counted; the last live symbol is lost in each round in which
+    it is not the right side of the winner. Ends, too, when a pair wins in two rounds on end, or at fewer than two symbols.
+    """
+    if vocab_size < 256:
+        raise RuntimeError("vocab_size must be at least 256.")
+    data = text.encode()
+    places = [data[i : i + 1] for i in range(len(data))]
+    live, known, out = len(places), 256, []
+    names, last = set(), None
+    while known < vocab_size and live >= 2:
+        seen: dict[bytes, int] = {}
+        best, most = None, 0
+        for pair in map(bytes.__add__, places, places[1:]):
+            seen[pair] = seen.get(pair, 0) + 1
+            if seen[pair] > most:
+                best, most = pair, seen[pair]
+        out.append((best.decode("utf-8", "replace"), known + 1, most))
+        if best not in names:
+            names.add(best)
+            known += 1
+        kept, at = [], 0
+        while at < live - 1:
+            both = places[at] + places[at + 1]
+            kept.append(both if both == best else places[at])
+            at += 2 if both == best else 1
+        places[: len(kept)] = kept
+        live = len(kept)
+        if best == last:
+            break
+        last = best
+    return out
+
+
 def train_bbpe(texts: DataFrame, vocab_size: int, **kw) -> tuple[dict[int, bytes], list[tuple[int, str, int]]]:
     """Byte-level training: stops when no pair occurs twice."""
     return train(texts, vocab_size, least=2, **kw)
 
 
 def train_bpe(texts: DataFrame, vocab_size: int, **kw) -> tuple[dict[int, bytes], list[tuple[int, str, int]]]:
-    """Training without a least count; learned ids start at 257, as the count of tokens is taken before adding."""
+    """Training without a least count; learned ids start at 257, as the count of tokens is taken before adding.
+
+    For old faults, see train_compat.
+    """
     return train(texts, vocab_size, least=1, first_id=257, **kw)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import BAD_VOCAB
+from ..operators.bpe import small
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -31,8 +32,23 @@ def write_vocab(vocab: DataFrame, path: str) -> None:
 
 
 def parse_special(lines: DataFrame, column: str = "value") -> DataFrame:
+    """byte, replacement; a line without separator or with another number than a byte's raises, and so does an empty replacement."""
     part = F.split(F.col(column), " == ", 2)
-    return lines.select(part[0].cast("int").alias("byte"), part[1].alias("replacement"))
+    byte = part[0].try_cast("int")
+    wrong = (F.size(part) < 2) | byte.isNull() | (byte < 0) | (byte > 255)
+    checked = F.when(wrong, F.raise_error(F.lit("Invalid format in special character file."))).otherwise(byte)
+    value = F.when(F.get(part, 1) == "", F.raise_error(F.lit("Value is empty in special character file."))).otherwise(F.get(part, 1))
+    return lines.select(checked.cast("int").alias("byte"), value.alias("replacement"))
+
+
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """surface, ord, analysis from files of lines "surface<tab>analysis"; ord is the line's number in its file.
+
+    Each file is read in one task, since analyses of a word are in the order of their lines; lines without tab are left out.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "line"))
+    part = F.split("line", "\t", 2)
+    return lines.where(F.size(part) == 2).select(part[0].alias("surface"), "ord", part[1].alias("analysis"))
 
 
 def resolve_merges(rules: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -42,7 +58,7 @@ def resolve_merges(rules: DataFrame, vocab: DataFrame) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    side = lambda name: F.broadcast(vocab.select(F.col("token").alias(name), F.col("id").alias(f"{name}_id")))
+    side = lambda name: small(vocab.select(F.col("token").alias(name), F.col("id").alias(f"{name}_id")))
     found = rules.withColumn("merge", F.concat("left", "right")).join(side("left"), "left").join(side("right"), "right").join(side("merge"), "merge")
     rank = F.row_number().over(Window.orderBy("line_no")) - 1
     return found.select(rank.alias("rank"), "left_id", "right_id", "merge_id")

@@ -207,13 +207,44 @@ class TokenizerModel:
     def merge_text(self, word: str) -> list[int]:
         """merge_strings of a word in which no "<" starts a unit, character by character."""
         get = self.ids_of_text.get
-        return [get(x, -1) for x in merged(list(word), lambda a, b: get(a + b), lambda a, b: a + b)]
+        if len(word) >= LONG:
+            return [get(x, -1) for x in merged(list(word), lambda a, b: get(a + b), lambda a, b: a + b)]
+        s = list(word)
+        ranks = [get(a + b, _NONE) for a, b in zip(word, word[1:])]
+        while ranks and (best := min(ranks)) != _NONE:
+            at = ranks.index(best)
+            del ranks[at]
+            s[at] = both = s[at] + s.pop(at + 1)
+            if at:
+                ranks[at - 1] = get(s[at - 1] + both, _NONE)
+            if at < len(ranks):
+                ranks[at] = get(both + s[at + 1], _NONE)
+        return [get(x, -1) for x in s]
+
+    @cached_property
+    def _rank_of_pair(self) -> dict[tuple[int, int], int]:
+        return {pair: rank for pair, (rank, _) in self.merges.items()}
+
+    @cached_property
+    def _id_of_char(self) -> dict[str, int]:
+        return {t: i for t, i in self.ids_of_text.items() if len(t) == 1}
 
     def merge_ids(self, word: bytes) -> list[int]:
         """Merges the leftmost pair of lowest rule rank until no rule fits; unknown characters are -1 and stay."""
-        rules, get = self.merges, self.vocab.get
-        rank_of = lambda a, b: None if (rule := rules.get((a, b))) is None else rule[0]
-        return merged([get(c.encode(), -1) for c in word.decode()], rank_of, lambda a, b: rules[a, b][1])
+        rules, get, char = self.merges, self._rank_of_pair.get, self._id_of_char.get
+        s = [char(c, -1) for c in word.decode()]
+        if len(s) >= LONG:
+            return merged(s, lambda a, b: get((a, b)), lambda a, b: rules[a, b][1])
+        ranks = [get(pair, _NONE) for pair in zip(s, s[1:])]
+        while ranks and (best := min(ranks)) != _NONE:
+            at = ranks.index(best)
+            del ranks[at]
+            s[at] = both = rules[s[at], s.pop(at + 1)][1]
+            if at:
+                ranks[at - 1] = get((s[at - 1], both), _NONE)
+            if at < len(ranks):
+                ranks[at] = get((both, s[at + 1]), _NONE)
+        return s
 
     def word_ids(self, word: str, prefix: str | None = None) -> list[int]:
         mapped = self.pretokenize(word, prefix)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers as P
@@ -114,14 +115,17 @@ def test_url_rules_are_mined(spark):
     assert {r["page_id"] for r in got if r["verdict"] == "block"} == {i for i in range(400) if i % 4 == 0 and i % 3}
 
 
-def fp_rules(spark, transactions, labels, least, confidence):
-    """The rules of FP-growth over whole transactions, without those that a shorter rule implies."""
-    from pyspark.ml.fpm import FPGrowth
-
-    baskets = spark.createDataFrame([([*t, "!bad" if y else "!good"],) for t, y in zip(transactions, labels)], "items array<string>")
-    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / len(labels), minConfidence=confidence).fit(baskets).associationRules
-    found = [(frozenset(r["antecedent"]), round(r["confidence"], 9)) for r in rows(found) if r["consequent"] == ["!bad"]]
-    return {(a, c) for a, c in found if not any(b < a and d >= c for b, d in found)}
+def fp_rules(transactions, labels, least, confidence):
+    """All rules, by counting every set of tokens in every transaction, without those that a shorter rule implies."""
+    seen = {}
+    for t, y in zip(transactions, labels):
+        own = sorted(set(t))
+        for size in range(1, len(own) + 1):
+            for items in combinations(own, size):
+                n, bad = seen.get(items, (0, 0))
+                seen[items] = (n + 1, bad + y)
+    found = [(frozenset(k), bad / n) for k, (n, bad) in seen.items() if bad >= least and bad / n >= confidence]
+    return {(a, round(c, 9)) for a, c in found if not any(b < a and d >= c for b, d in found)}
 
 
 def mined(spark, transactions, labels, **kw):
@@ -135,7 +139,7 @@ def test_url_rules_are_mined_from_all_tokens(spark):
     names = [f"t{i}" for i in range(13)]
     transactions = [[x for x in names if own.random() < 0.65] + ["d:com"] for _ in range(300)]
     labels = [int({"t1", "t7", "t11"} <= set(t) and own.random() < 0.9 or own.random() < 0.03) for t in transactions]
-    want = fp_rules(spark, transactions, labels, 30, 0.6)
+    want = fp_rules(transactions, labels, 30, 0.6)
     assert max(map(len, transactions)) > 8 and len(want) > 3 and max(len(a) for a, _ in want) > 2
     assert mined(spark, transactions, labels, min_rows=30) == want
     # Tokens that always stand together do not multiply the sets.
@@ -151,7 +155,60 @@ def test_url_rules_from_mostly_rejected_labels(spark):
     assert {r["page_id"] for r in got if r["verdict"] == "block"} == {i for i in range(300) if i % 10}
     transactions = [["a"] * (n % 2) + ["b"] * (n % 3 > 0) + ["c"] for n in range(120)]
     bad = [int(n % 4 > 0) for n in range(120)]
-    assert mined(spark, transactions, bad) == fp_rules(spark, transactions, bad, 10, 0.6)
+    assert mined(spark, transactions, bad) == fp_rules(transactions, bad, 10, 0.6)
+
+
+def test_url_rules_of_odd_tables(spark):
+    """Repeated rows, tokens that always stand together, very long URLs, clashing columns and empty tables."""
+    long = "http://long.org/" + "/".join(f"p{i}" for i in range(3000))
+    pages = [(i, f"http://{'bad' if i % 2 else 'good'}.org/a/b/{i}", "x") for i in range(80)] + [(1, "http://bad.org/a/b/1", "y"), (None, "http://bad.org/", None), (90, None, ""), (91, long, "")]
+    pages = spark.createDataFrame(pages, "page_id long, url string, tokens string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0, "c") for i in range(60)] + [(3, 0, 0, "c"), (None, 0, 1, "c"), (500, 0, 1, "c")], "doc_id long, quality int, toxic int, host string")
+    got = rows(op02_url_rules.url_filter(pages, labels, URL_RULES, min_confidence=0.9))
+    assert len(got) == 84
+    for r in got:
+        assert r["verdict"] == ("block" if r["host"] == "bad.org" else "allow"), r
+    mined_rules = op02_url_rules.mine(spark.createDataFrame([(i, ["d:org", "d:bad.org"] if i % 2 else ["d:org"]) for i in range(60)], "page_id long, tokens array<string>"), spark.createDataFrame([(i, i % 2) for i in range(60)], "page_id long, rejected int"))
+    assert [r["tokens"] for r in mined_rules] == [["d:bad.org"]]
+    empty = pages.where("false")
+    assert rows(op02_url_rules.url_filter(empty, labels, URL_RULES)) == [] and len(rows(op02_url_rules.url_filter(pages, labels.where("false"), URL_RULES))) == 84
+    ties = [op02_url_rules.Rule("block", "a.b", "/c"), op02_url_rules.Rule("allow", "a.b", "/c")]
+    one = spark.createDataFrame([(0, "http://a.b/c")], "page_id long, url string")
+    assert [r["verdict"] for r in rows(op02_url_rules.url_filter(one, labels, ties))] == ["block"]
+
+
+def numeric_risk(w, b, pos, unl, prior):
+    loss = lambda rows, sign: np.mean([np.logaddexp(0, -sign * (b + w[x].sum())) for x in rows])
+    clean = loss(unl, -1) - prior * loss(pos, -1)
+    return prior * loss(pos, 1) + max(0.0, clean)
+
+
+def test_toxicity_lowers_the_risk_that_it_names():
+    own = np.random.default_rng(5)
+    n = 1 << op03_toxicity.BITS
+    pos = [np.unique(np.append(own.integers(10, 60, 8), [1, 2])).astype(np.uint32) for _ in range(80)]
+    unl = [np.unique(np.append(own.integers(10, 60, 8), [1, 2] if i % 10 == 0 else [3])).astype(np.uint32) for i in range(300)]
+    w, b = op03_toxicity.fit(pos, unl, 0.1, penalty=0.0)
+    assert numeric_risk(w, b, pos, unl, 0.1) < 0.5 * numeric_risk(np.zeros(n), np.log(0.1 / 0.9), pos, unl, 0.1)
+    # Around the result no step along a weight in use, or along the bias, lowers the risk by much.
+    for place in (1, 2, 3, None):
+        for step in (-0.3, 0.3):
+            moved, c = w.copy(), b
+            if place is None:
+                c += step
+            else:
+                moved[place] += step
+            assert numeric_risk(moved, c, pos, unl, 0.1) > numeric_risk(w, b, pos, unl, 0.1) - 0.02
+    assert op03_toxicity.fit([], unl, 0.1)[1] == pytest.approx(np.log(0.1 / 0.9))
+
+
+def test_toxicity_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, None), (2, "", "y"), (3, "z" * 300_000, "")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1, "q"), (2, 0, "q"), (None, 1, "q")], "doc_id long, toxic int, text string")
+    got = rows(op03_toxicity.toxicity(docs, labels))
+    assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got) and got[0]["score"] == got[1]["score"]
+    assert rows(op03_toxicity.toxicity(docs.where("false"), labels)) == [] and len(rows(op03_toxicity.toxicity(docs, labels.where("false")))) == 5
+    assert op03_toxicity.without_toxic(docs, labels).columns == docs.columns
 
 
 def test_toxicity(spark):
@@ -476,6 +533,115 @@ def test_chunks_follow_content():
     assert a == op10_exact_dedup.cut_points(data, block=10_000)
 
 
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    """A text whose rows have no doc_id links others; rows that share an id are judged each by its text."""
+    words = [f"w{i}" for i in range(100)]
+    a, b, c = " ".join(words), " ".join([*words[:91], *(f"x{i}" for i in range(9))]), " ".join([*words[9:91], *(f"x{i}" for i in range(9)), *(f"y{i}" for i in range(9))])
+    assert not op04_minhash.near_dedup(spark.createDataFrame([(1, a), (2, c)], "doc_id long, text string")).where("not kept").count()
+    table = [(5, a), (None, b), (3, c), (7, prose(50)), (7, prose(60)), (None, prose(70)), (None, None)]
+    got = rows(op04_minhash.near_dedup(spark.createDataFrame(table, "doc_id long, text string")))
+    assert sorted(str((r["doc_id"], r["component_id"], r["kept"])) for r in got) == sorted(map(str, [(5, 3, False), (None, 3, False), (3, 3, True), (7, 7, True), (7, 7, True), (None, None, True), (None, None, True)]))
+
+
+def test_near_dedup_of_a_chain(spark):
+    """A group whose members are linked over others, and members that share most with it and are not."""
+    own = random.Random(11)
+    base = [f"v{i}" for i in range(150)]
+    table = []
+    for i in range(60):
+        words = list(base)
+        for at in own.sample(range(150), 1 + i % 3):
+            words[at] = f"n{own.randrange(40)}"
+        table.append((i, " ".join(words)))
+    sets = {i: shingles(t, 5) for i, t in table}
+    comp = {i: i for i in sets}
+    for _ in sets:
+        for x, y in combinations(sets, 2):
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                comp[x] = comp[y] = min(comp[x], comp[y])
+    got = {r["doc_id"]: r["component_id"] for r in rows(op04_minhash.near_dedup(spark.createDataFrame(table, "doc_id long, text string")))}
+    assert got == comp and 1 < len(set(comp.values())) < 60
+
+
+def test_parities_bound_the_difference(spark):
+    own = np.random.default_rng(3)
+    sets = [np.unique(own.integers(0, 5000, n)).astype(np.uint64) for n in (1, 50, 400, 3000, 50)]
+    got = {r["doc"]: r for r in rows(op04_minhash.parities(spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "doc long, items binary")))}
+    for i, j in combinations(range(len(sets)), 2):
+        bits = sum(bin((got[i][f"p{k}"] ^ got[j][f"p{k}"]) & (1 << 64) - 1).count("1") for k in range(16))
+        assert bits <= len(np.setxor1d(sets[i], sets[j]))
+
+
+def test_hot_join(spark):
+    from wordloom.llm.common import hot_join, stored
+
+    table = spark.createDataFrame([(k, i) for k, n in (("a", 500), ("b", 3), ("c", 60)) for i in range(n)] + [("d", 0)], "key string, i int")
+    groups = stored(table.where("key <> 'd'").groupBy("key").agg(F.count("*").alias("n"), F.max("i").alias("top")), "groups")
+    for how in ("left", "inner"):
+        want = sorted(tuple(r[x] for x in ("key", "i", "n", "top")) for r in table.join(groups, "key", how).where("n is not null").collect())
+        got = hot_join(table, groups, ["key"], "n", how, share=10, least=50)
+        assert sorted(tuple(r[x] for x in ("key", "i", "n", "top")) for r in got.where("n is not null").collect()) == want
+        assert got.count() == len(want) + (how == "left")
+
+
+def test_line_filters_beyond_the_broadcast(spark, docs):
+    index = op06_line_dedup.LineIndex(spark).insert(docs)
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in rows(index.apply(docs, filter_bytes=0))}
+    assert got == line_result(ROWS)
+
+
+def test_line_texts_of_repeated_ids(spark):
+    line = "a line of more than forty characters that is repeated"
+    table = [(1, f"{line}\na"), (1, f"{line}\nb"), (1, "c"), (None, line), (2, line), (3, line), (3, None)]
+    got = rows(op06_line_dedup.line_dedup(spark.createDataFrame(table, "doc_id long, text string"), texts=True))
+    assert sorted(str((r["doc_id"], r["kept_text"])) for r in got) == sorted(str(x) for x in [(1, "a"), (1, "b"), (1, "c"), (None, line), (2, ""), (3, line), (3, "")])
+
+
+def test_row_keys_and_folders(spark, tmp_path):
+    from wordloom.llm import common
+
+    spark.range(100).withColumn("row", F.lit("x")).repartition(3).write.parquet(str(tmp_path / "t"))
+    plain = spark.read.parquet(str(tmp_path / "t"))
+    for df in (plain, plain.where("id > 5"), plain.join(plain.select("id"), "id"), plain.unionByName(plain), spark.range(5)):
+        keyed = common.with_row(df, "own")
+        assert keyed.select("own").distinct().count() == df.count()
+    with common.scratch() as keep:
+        a, b = common.stored(spark.range(3), "a"), common.stored(spark.range(4), "b")
+        keep(a)
+    assert a.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(b._wordloom_path).count()
+
+
+def test_exact_dedup_keeps_one_of_equal_rows(spark):
+    table = spark.createDataFrame([(1, "aaaa", 0), (5, "a a a a", 1), (5, "different", 2), (5, "different", 3), (None, "x", 4), (None, "x", 5), (None, None, 6), (8, "", 7)], "doc_id long, text string, n long")
+    got = {r["row"]: r["kept"] for r in rows(op10_exact_dedup.exact_dedup(table, row_col="n"))}
+    assert got == {0: False, 1: True, 2: True, 3: False, 4: True, 5: False, 6: False, 7: True}
+
+
+def test_pipeline_keeps_rows_apart(spark, tmp_path):
+    """Labels, null and repeated doc_ids, equal rows, empty tables."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    bad = lambda: f"{prose(15)} vilest nastiness {prose(15)}"
+    table = [(i, bad() if i % 4 == 0 else prose(30)) for i in range(400)]
+    extra = [(5000, "aaaa"), (5001, "aaaa"), (5001, "quite different words"), (5002, "both rows"), (5002, "both rows"), (None, "no id here"), (None, "no id here"), (None, "no id there"), (5003, None), (5004, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "r") for i, t in table + extra], schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = rows(corpus_pipeline.run(spark, str(tmp_path)))
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = sorted([str((i, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1)) for i, t in table if i % 4] + [str((i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1)) for i, t in (extra[0], extra[2], extra[3], extra[5], extra[7], extra[9])])
+    found = [str((r["doc_id"], r["doc_tokens"])) for r in got if r["start"] == 0]
+    toxic = {str((i, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1)) for i, t in table if i % 4 == 0}
+    assert len([x for x in found if x in toxic]) <= 2 and sorted(x for x in found if x not in toxic) == want
+    (tmp_path / "none").mkdir()
+    docs.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert rows(corpus_pipeline.run(spark, str(tmp_path / "none"))) == []
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

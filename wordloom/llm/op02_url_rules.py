@@ -1,17 +1,16 @@
 """URL filtering by association rules, with DataFrame and SQL functions alone.
 
-Given rules of host and path come first. For other URLs, combinations of URL tokens that go with rejected pages are
-mined: a transaction is a labelled page's tokens and its class. Rules enough supported and confident and
-not implied by a shorter rule as confident are kept in an inverted index: an array of buckets by
-hash of each rule's rarest token. A URL looks up its own tokens there and checks the rest of each rule found, so
-matching needs no join and no shuffle.
-
-Mining reads every token of every labelled URL and finds the rules that FP-growth over the whole transactions gives
-once the implied ones are dropped. It grows sets of frequent tokens one token at a time and leaves out what cannot
-give a kept rule: sets under the support, sets that share their rows with a shorter one (as a domain and its parent
-do), and sets longer than one without accepted rows. The number of sets has no fixed bound: it depends on how many
-combinations of tokens are frequent, and each level of them is broadcast and sent to the driver. Matching reads all
-tokens of all URLs.
+Given rules of host and path come first. For other URLs, Spark's FP-growth mines combinations of URL tokens that go
+with rejected pages: a transaction is a labelled page's tokens and its class. Rules enough supported and confident and
+not implied by a shorter rule as confident are kept in an inverted index: an array of buckets by hash of each rule's
+rarest token. A URL looks up its own tokens there and checks the rest of each rule found, so matching needs no join and
+no shuffle.
+
+Mining reads every token of every labelled URL. Tokens in too few rejected URLs are in no rule and are left out of the
+transactions; of tokens that stand in the very same URLs (by count and a 64-bit hash of the rows), one stands for all
+while sets are mined, and rules are written out for each of them. The number of frequent sets has no fixed bound: it
+depends on how many combinations of tokens are frequent. Rules that reach the thresholds come to the driver, once for
+each set; matching reads all tokens of all URLs.
 
 Defined results: null urls and urls without "://" have empty host and path and are allowed; ties between given rules
 go to the first given; repeated rows are judged each; labels without page and pages without label do not teach;
@@ -23,11 +22,13 @@ from __future__ import annotations
 import json
 import string
 from dataclasses import dataclass
+from itertools import product
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 _BUCKETS = 1024
 
@@ -73,50 +74,51 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(domains, segments, names, scheme))
 
 
+#: The class of a rejected page's transaction; no token starts like this.
+_REJECTED = "!rejected"
+
+
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_rows: int = 10, min_confidence: float = 0.6) -> list[dict]:
     """Rules: tokens (rarest first), confidence, support. pages: page_id, tokens; labels: page_id, rejected."""
-    known = stored(pages.join(labels.groupBy("page_id").agg(F.max("rejected").alias("rejected")), "page_id").select("rejected", "tokens"), "url-transactions")
-    spark = known.sparkSession
+    with scratch():
+        known = pages.join(labels.groupBy("page_id").agg(F.max("rejected").alias("rejected")), "page_id").select("rejected", "tokens")
+        return _mined(stored(known.withColumn("row", F.monotonically_increasing_id()), "url-transactions"), min_support, min_rows, min_confidence)
+
+
+def _mined(known: DataFrame, min_support: float, min_rows: int, min_confidence: float) -> list[dict]:
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("rejected"), F.lit(0)).alias("bad")).first()
     n = total["n"]
     if not total["bad"]:
         return []
     least = max(min_rows, int(min_support * n))
-    each = known.select("rejected", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("rows"), F.sum("rejected").alias("bad")).where(F.col("bad") >= least)
-    # At most (tokens of a URL) / min_support tokens pass: no more with more rows. Their numbers go up with their rows.
+    token = known.select("row", "rejected", F.explode("tokens").alias("token")).groupBy("token")
+    each = token.agg(F.count("*").alias("rows"), F.sum("rejected").alias("bad"), F.bit_xor(F.xxhash64("row")).alias("where")).where(F.col("bad") >= least)
+    # At most (tokens of a URL) / min_support tokens pass: no more with more rows.
     each = sorted(each.collect(), key=lambda r: (r["rows"], r["token"]))
-    if not each:
+    order = {r["token"]: i for i, r in enumerate(each)}
+    alike: dict[tuple, list[str]] = {}
+    for r in each:
+        alike.setdefault((r["rows"], r["bad"], r["where"]), []).append(r["token"])
+    if not alike:
         return []
-    numbers = spark.createDataFrame([(r["token"], i) for i, r in enumerate(each)], "token string, number int")
-    rows = known.withColumn("row", F.monotonically_increasing_id()).select("row", "rejected", F.explode("tokens").alias("token")).join(F.broadcast(numbers), "token")
-    rows = rows.groupBy("row", "rejected").agg(F.sort_array(F.collect_list("number")).alias("own"))
-    baskets = stored(rows.groupBy("own").agg(F.count("*").alias("rows"), F.sum("rejected").alias("bad")), "url-baskets")
-
-    def grown(sets: list[tuple[int, ...]]) -> dict[tuple[int, ...], tuple[int, int]]:
-        """Rows and rejected rows of each set with one number more, after its last, where rejected rows reach the support."""
-        table = spark.createDataFrame([(s[0], list(s)) for s in sets], "first int, set array<int>")
-        held = baskets.select("own", "rows", "bad", F.explode("own").alias("first")).join(F.broadcast(table), "first").where(F.size(F.array_except("set", "own")) == 0)
-        more = F.transform(F.filter("own", lambda x: x > F.element_at("set", -1)), lambda x: F.concat("set", F.array(x)))
-        counts = held.select("rows", "bad", F.explode(more).alias("set")).groupBy("set").agg(F.sum("rows").alias("rows"), F.sum("bad").alias("bad")).where(F.col("bad") >= least)
-        return {tuple(r["set"]): (r["rows"], r["bad"]) for r in counts.collect()}
-
-    found = level = {(i,): (r["rows"], r["bad"]) for i, r in enumerate(each)}
-    while level:
-        # Sets without accepted rows are not grown: no longer rule is more confident.
-        open_ = {s: c for s, c in level.items() if c[1] < c[0]}
-        level = grown(list(open_)) if open_ else {}
-        # A set with a subset of the same rows says nothing more than that subset, nor do the sets it would grow to.
-        level = {s: c for s, c in level.items() if all((own := open_.get(s[:i] + s[i + 1 :])) and own[0] > c[0] for i in range(len(s)))}
-        found = found | level
-    rules = [(s, bad, rows) for s, (rows, bad) in found.items() if bad / rows >= min_confidence]
+    of = {tokens[0]: tokens for tokens in alike.values()}
+    first = known.sparkSession.createDataFrame([(x,) for x in of], "token string")
+    kept = known.select("row", "rejected", F.explode("tokens").alias("token")).join(F.broadcast(first), "token").groupBy("row", "rejected").agg(F.collect_set("token").alias("items"))
+    baskets = stored(kept.select(F.when(F.col("rejected") == 1, F.concat("items", F.array(F.lit(_REJECTED)))).otherwise(F.col("items")).alias("items")), "url-baskets")
+    # Support is a share of the transactions that are left; those without any token are not among them.
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / max(1, baskets.count()), minConfidence=min_confidence).fit(baskets)
+    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(_REJECTED))).select("antecedent", "confidence", "support").collect()
+    share = baskets.count() / n
+    rules = [(sorted(r["antecedent"], key=order.__getitem__), r["confidence"], r["support"] * share) for r in found]
     rules.sort(key=lambda r: (len(r[0]), r[0]))
-    kept: list[dict] = []
-    shorter: dict[int, list[tuple[set, int, int]]] = {}
-    for items, bad, rows in rules:
-        if not any(k < set(items) and b * rows >= bad * r for i in items for k, b, r in shorter.get(i, ())):
-            kept.append({"tokens": [each[i]["token"] for i in items], "confidence": bad / rows, "support": bad / n})
-            shorter.setdefault(items[0], []).append((set(items), bad, rows))
-    return kept
+    out: list[dict] = []
+    shorter: dict[str, list[tuple[set, float]]] = {}
+    for tokens, confidence, support in rules:
+        if any(k < set(tokens) and c >= confidence - 1e-12 for t in tokens for k, c in shorter.get(t, ())):
+            continue
+        shorter.setdefault(tokens[0], []).append((set(tokens), confidence))
+        out += [{"tokens": sorted(names, key=order.__getitem__), "confidence": confidence, "support": support} for names in product(*(of[t] for t in tokens))]
+    return out
 
 
 def matched(own: Column, rules: list[dict]) -> Column:

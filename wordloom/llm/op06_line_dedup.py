@@ -288,8 +288,8 @@ class LineIndex:
             size = self.filters.agg(F.coalesce(F.sum(F.length("cells") + 8 * F.size("rest")), F.lit(0)).alias("n")).first()["n"]
             keys = keys if size <= filter_bytes else self.known(keys)
             lost = hot_join(keys, self.hot().select("k1", "k2", "n_docs", "keep_id"), ["k1", "k2"], "n_docs", "inner").where("doc_id < keep_id")
-            lost = stored(lost.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("lost")), "lost-lines")
-            keep(found, lost)
+            lost = lost.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("lost"))
+            keep(found)
         least = self.min_chars
 
         def run(batches):

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from wordloom import facade, model
+from wordloom import batch, facade, model
 
 from wordloom.functions.text import chunk_parts, detokenize, pretokenize, split_words
 from wordloom.model import BAD_VOCAB, OUT_OF_RANGE, WORD_PATTERN, TokenizerModel, convert_json_vocab, format_vocab_line, infer_prefix, load_folder, load_merges, load_model, load_special, load_vocab, parse_vocab_line
@@ -80,6 +80,31 @@ def test_merging_is_the_scan(word, pairs, seed):
         assert run(list(word), lambda a, b: rank.get(a + b), lambda a, b: a + b) == want
 
 
+def test_many_words_at_once_are_each_word(monkeypatch):
+    """Random vocabularies, rules with equal ranks, replacements of several characters, units and unknown characters."""
+    monkeypatch.setattr(batch, "STEP", 500)
+    own = random.Random(11)
+    for _ in range(60):
+        letters = own.choice(["ab", "abé<0 ", "xyz€𝄞"])
+        text = lambda most: "".join(own.choice(letters + "aQ") for _ in range(own.randint(0, most)))
+        tokens = sorted({text(5) + own.choice(letters) for _ in range(own.randint(1, 40))})
+        vocab = dict(zip((t.encode() for t in tokens), own.sample(range(900), len(tokens))))
+        known = list(vocab.values())
+        merges = {(own.choice([-1, *known]), own.choice(known)): (own.randint(0, 5), own.choice(known)) for _ in range(20)} if own.random() < 0.5 else None
+        m = TokenizerModel(vocab, own.choice([{}, {97: "<b", 32: "_"}, {32: "_"}]), merges, byte_mode=own.random() < 0.5)
+        words = ["", "<0x61>a", "Q" * 200, *(text(own.choice([3, 12, 150])) for _ in range(batch.FEW))]
+        assert batch.BatchMerger(m).word_ids(words) == [batch.as_bytes(m.word_ids(w)) for w in words]
+
+
+@pytest.mark.parametrize("m", [STRING_MODEL, ID_MODEL, PREFIX_MODEL])
+def test_columns_are_encoded_like_texts(spark, m):
+    own = random.Random(3)
+    many = " ".join("".join(own.choices("thenrioé€", k=own.randint(1, 9))) for _ in range(3 * batch.FEW))  # enough for merging at once
+    texts = [None, *TEXTS, many, " ".join(TEXTS) * 3]
+    rows = column(spark, texts).select("id", encode_column(m)("text").alias("ids")).orderBy("id").collect()
+    assert [r["ids"] for r in rows] == [None if t is None else m.encode(t) for t in texts]
+
+
 def test_long_words_take_linear_time():
     began = time.process_time()
     word = "the" * 100_000

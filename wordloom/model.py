@@ -257,20 +257,23 @@ class TokenizerModel:
         """What stands before a text that starts with a space: always merged by strings, character by character."""
         return self.merge_strings(self.pretokenize(self.prefix).encode(), units=False) if self.prefix else []
 
-    def encode(self, text: str, memo: dict | None = None) -> list[int]:
+    def split(self, text: str) -> list[str]:
         words = self.words.findall(text) if self.words.groups == 0 else [m.group() for m in self.words.finditer(text)]
-        if self.pattern is not None:
-            words = [w for w in words if w]
+        return words if self.pattern is None else [w for w in words if w]
+
+    def head(self, text: str, words: list[str]) -> tuple[list[int], int]:
+        """The ids that a text begins with because of the prefix, and how many of its words they stand for."""
+        if not words or not self.prefix:
+            return [], 0
+        return (self.prefix_ids, 0) if text.startswith(" ") else (self.word_ids(words[0], self.prefix), 1)
+
+    def encode(self, text: str, memo: dict | None = None) -> list[int]:
+        words = self.split(text)
         log.debug("%d words in a text of %d characters, pattern %s", len(words), len(text), self.pattern)
         memo = {} if memo is None else memo
-        out: list[int] = []
-        if words and self.prefix:
-            if text.startswith(" "):
-                out += self.prefix_ids
-            else:
-                out += self.word_ids(words[0], self.prefix)
-                words = words[1:]
-        for word in words:
+        ids, used = self.head(text, words)
+        out = list(ids)
+        for word in words[used:]:
             ids = memo.get(word)
             if ids is None:
                 if len(memo) > 500_000:

@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batch import BatchMerger, as_bytes
 from ..model import OUT_OF_RANGE, TokenizerModel
 
-
-
 #: Most rows of a table that is broadcast.
 SMALL = 2_000_000
 #: Words that a worker remembers, for each model.
 _WORDS = 300_000
-_memos: dict[str, dict[str, list[int]]] = {}
+_memos: dict[str, dict[str, bytes]] = {}
+_mergers: dict[str, BatchMerger] = {}
+
+
+def _parts(texts: list[str | None], size: int = 1 << 20):
+    """Runs of texts of about size characters; a longer text stands in one run."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t or "")
+        if held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -27,16 +41,24 @@ def encode_column(model: TokenizerModel):
 
     def run(texts: pa.Array) -> pa.Array:
         memo = _memos.setdefault(model.key, {})
-        flat, sizes, valid = [], [0], []
-        for t in texts.to_pylist():
-            if t is not None:
-                flat += model.encode(t, memo)
-            valid.append(t is not None)
-            sizes.append(len(flat))
+        if model.key not in _mergers:
+            _mergers[model.key] = BatchMerger(model)
+        merger = _mergers[model.key]
+        found, none = [], []
+        for part in _parts(texts.to_pylist()):
+            split = [model.split(t or "") for t in part]
+            new = list({w for words in split for w in words if w not in memo})
+            memo.update(zip(new, merger.word_ids(new)))
+            for t, words in zip(part, split):
+                ids, used = model.head(t or "", words)
+                found.append(as_bytes(ids) + b"".join(map(memo.__getitem__, words[used:] if used else words)))
+                none.append(t is None)
             if len(memo) > _WORDS:
                 for word in list(memo)[_WORDS // 2 :]:  # those met first are the more frequent ones on the whole
                     del memo[word]
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([not x for x in valid], pa.bool_()) if not all(valid) else None)
+        ends = np.cumsum([0, *map(len, found)]) // 4
+        flat = pa.array(np.frombuffer(b"".join(found), np.int32))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(none, pa.bool_()) if any(none) else None)
 
     return F.arrow_udf(run, "array<int>")
 

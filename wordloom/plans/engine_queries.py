@@ -10,6 +10,7 @@ from ..model import LETTERS, WORD_PATTERN, TokenizerModel, byte_alphabet, specia
 from ..operators import train
 from ..operators.bpe import decode_column, decode_native, encode_column, encode_words_native, look_up, out_of_vocabulary, valid_ids, vocab_map
 from ..operators.morph import look_up_words
+from ..runtime import spread
 from ..sources.files import format_vocab, parse_vocab, resolve_merges
 
 _ALPHABET = byte_alphabet()
@@ -36,6 +37,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, *key: str, table: str = "documents") -> DataFrame:
+    return spread(_read(spark, sf_dir, table).select(*key, "text"))
+
+
 def _digest(ids):
     return F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), " ").cast("binary"))
 
@@ -69,11 +74,11 @@ def _log(spark: SparkSession, log) -> DataFrame:
 
 def split_words_(spark, d):
     w = split_words(F.col("text"))
-    return _read(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("n_words"), _joined(w).alias("words_md5"))
+    return _texts(spark, d, "doc_id").select("doc_id", F.size(w).cast("long").alias("n_words"), _joined(w).alias("words_md5"))
 
 
 def word_freq_topk(spark, d):
-    return _read(spark, d, "documents").select(F.explode(split_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
+    return _texts(spark, d).select(F.explode(split_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 
 def char_class_counts(spark, d):
@@ -85,11 +90,11 @@ def utf8_len_profile(spark, d):
 
 
 def byte_map_encode(spark, d):
-    return _read(spark, d, "documents").select("doc_id", F.md5(pretokenize(F.col("text"), STRING_MODEL).cast("binary")).alias("mapped_md5"))
+    return _texts(spark, d, "doc_id").select("doc_id", F.md5(pretokenize(F.col("text"), STRING_MODEL).cast("binary")).alias("mapped_md5"))
 
 
 def byte_map_roundtrip(spark, d):
-    return _read(spark, d, "conversations").select("conv_id", "turn", F.md5(detokenize(pretokenize(F.col("text"), STRING_MODEL), STRING_MODEL).cast("binary")).alias("text_md5"))
+    return _texts(spark, d, "conv_id", "turn", table="conversations").select("conv_id", "turn", F.md5(detokenize(pretokenize(F.col("text"), STRING_MODEL), STRING_MODEL).cast("binary")).alias("text_md5"))
 
 
 def special_longest_match(spark, d):
@@ -113,11 +118,11 @@ def merge_rules_resolve(spark, d):
 
 
 def encode_string_bpe(spark, d):
-    return _encoded(_read(spark, d, "documents"), STRING_MODEL, "doc_id")
+    return _encoded(_texts(spark, d, "doc_id"), STRING_MODEL, "doc_id")
 
 
 def encode_id_bpe(spark, d):
-    return _encoded(_read(spark, d, "documents"), ID_MODEL, "doc_id")
+    return _encoded(_texts(spark, d, "doc_id"), ID_MODEL, "doc_id")
 
 
 def encode_native_hof(spark, d):
@@ -133,20 +138,20 @@ def encode_prefix_cases(spark, d):
 
 
 def oov_report(spark, d):
-    return out_of_vocabulary(_mapped_words(_read(spark, d, "documents")), _vocab(spark))
+    return out_of_vocabulary(_mapped_words(_texts(spark, d, "doc_id")), _vocab(spark))
 
 
 def word_look_up(spark, d):
-    return look_up(_mapped_words(_read(spark, d, "documents")), _vocab(spark)).groupBy("id").agg(F.count("*").alias("n"))
+    return look_up(_mapped_words(_texts(spark, d, "doc_id")), _vocab(spark)).groupBy("id").agg(F.count("*").alias("n"))
 
 
 def decode_tokens(spark, d):
-    ids = _read(spark, d, "documents").select("doc_id", encode_column(STRING_MODEL)("text").alias("ids"))
+    ids = _texts(spark, d, "doc_id").select("doc_id", encode_column(STRING_MODEL)("text").alias("ids"))
     return ids.select("doc_id", F.md5(decode_column(STRING_MODEL)("ids").cast("binary")).alias("text_md5"))
 
 
 def decode_tokens_native(spark, d):
-    ids = _read(spark, d, "conversations").select("conv_id", "turn", encode_column(STRING_MODEL)("text").alias("ids"))
+    ids = _texts(spark, d, "conv_id", "turn", table="conversations").select("conv_id", "turn", encode_column(STRING_MODEL)("text").alias("ids"))
     return ids.select("conv_id", "turn", F.md5(detokenize(decode_native(F.col("ids"), STRING_MODEL), STRING_MODEL).cast("binary")).alias("text_md5"))
 
 
@@ -156,7 +161,7 @@ def decode_validate(spark, d):
 
 
 def batch_encode_conversations(spark, d):
-    return _encoded(_read(spark, d, "conversations"), STRING_MODEL, "conv_id", "turn")
+    return _encoded(_texts(spark, d, "conv_id", "turn", table="conversations"), STRING_MODEL, "conv_id", "turn")
 
 
 def _ids(spark, d):
@@ -175,7 +180,7 @@ def pair_argmax_tiebreak(spark, d):
 
 def merge_pair(spark, d):
     merged = train.merge_pair(train.as_ids(F.col("text")), "th", train.id_char(256))
-    return _read(spark, d, "documents").select("doc_id", F.length(merged).cast("long").alias("n_ids"), F.md5(merged.cast("binary")).alias("ids_md5"))
+    return _texts(spark, d, "doc_id").select("doc_id", F.length(merged).cast("long").alias("n_ids"), F.md5(merged.cast("binary")).alias("ids_md5"))
 
 
 def bbpe_train_small(spark, d):
@@ -209,19 +214,19 @@ def morph_longest(spark, d):
 
 
 def tokens_per_lang(spark, d):
-    docs = _read(spark, d, "documents").select("lang", F.octet_length("text").alias("bytes"), F.size(encode_column(STRING_MODEL)("text")).alias("tokens"))
+    docs = _texts(spark, d, "lang").select("lang", F.octet_length("text").alias("bytes"), F.size(encode_column(STRING_MODEL)("text")).alias("tokens"))
     out = docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("tokens").cast("long").alias("n_tokens"), F.sum("bytes").cast("long").alias("n_bytes"))
     return out.withColumn("bytes_per_token", F.round(F.col("n_bytes") / F.col("n_tokens"), 4))
 
 
 def chunk_document(spark, d):
     chunks = chunk_spans(F.col("text"), 500)
-    return _read(spark, d, "documents").select("doc_id", F.size(chunks).cast("long").alias("n_chunks"), _joined(chunks).alias("chunks_md5"))
+    return _texts(spark, d, "doc_id").select("doc_id", F.size(chunks).cast("long").alias("n_chunks"), _joined(chunks).alias("chunks_md5"))
 
 
 def regex_mode_split(spark, d):
     w = split_words(F.col("text"), REGEX)
-    return _read(spark, d, "conversations").select("conv_id", "turn", F.size(w).cast("long").alias("n_words"), _joined(w).alias("words_md5"))
+    return _texts(spark, d, "conv_id", "turn", table="conversations").select("conv_id", "turn", F.size(w).cast("long").alias("n_words"), _joined(w).alias("words_md5"))
 
 
 QUERIES = {f.__name__.rstrip("_"): f for f in (

@@ -172,6 +172,16 @@ def pair_counts(spark, d):
     return train.pair_counts(_ids(spark, d)).select("pair", "n", F.col("last.doc_id").alias("last_doc"), F.col("last.pos").cast("long").alias("last_pos"))
 
 
+def pair_counts_documents(spark, d):
+    rows = _texts(spark, d, "doc_id").select("doc_id", train.as_ids(F.col("text")).alias("s"))
+    return train.pair_counts(rows).select("pair", "n", F.col("last.doc_id").alias("last_doc"), F.col("last.pos").cast("long").alias("last_pos"))
+
+
+def bbpe_train_benchmark(spark, d):
+    rows = _texts(spark, d, "item_id", table="benchmark").withColumnRenamed("item_id", "doc_id")
+    return _log(spark, train.train_bbpe(rows, 256 + 10)[1])
+
+
 def pair_argmax_tiebreak(spark, d):
     rows = train.pair_rows(_ids(spark, d)).groupBy("doc_id", "pair").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
     best = rows.groupBy("doc_id").agg(F.min_by(F.struct("pair", "n"), F.struct(-F.col("n"), "last")).alias("b"))
@@ -233,7 +243,7 @@ QUERIES = {f.__name__.rstrip("_"): f for f in (
     split_words_, word_freq_topk, char_class_counts, utf8_len_profile, byte_map_encode, byte_map_roundtrip, special_longest_match, vocab_parse,
     vocab_format, merge_rules_resolve, encode_string_bpe, encode_id_bpe, encode_native_hof, encode_prefix_cases, oov_report, word_look_up,
     decode_tokens, decode_tokens_native, decode_validate, batch_encode_conversations, pair_counts, pair_argmax_tiebreak, merge_pair,
-    bbpe_train_small, bpe_train_small, morph_split, morph_longest, tokens_per_lang, chunk_document, regex_mode_split,
+    pair_counts_documents, bbpe_train_benchmark, bbpe_train_small, bpe_train_small, morph_split, morph_longest, tokens_per_lang, chunk_document, regex_mode_split,
 )}
 
 # --- the same in SQL
@@ -309,7 +319,30 @@ def _train_sql(rounds: int, least: int, first: int) -> str:
 
 _NAMED = "SELECT p_name AS surface, p_partkey AS ord, split_part(p_name, ' ', 1) || '[/N]' || split_part(p_name, ' ', 2) || '[Nom]' AS a, 2 AS depth FROM part UNION ALL SELECT p_name, p_partkey, '[' || p_name || ']', 1 FROM part"
 _SEGMENTS = "array_to_string(list_filter(list_filter(string_split_regex(a, '[\\[\\]]+'), lambda x: x <> ''), lambda x, i: i % 2 = 1), '|')"
-_PAIRS = f"SELECT doc_id, i - 1 AS pos, substr(s, i, 2) AS pair FROM (SELECT doc_id, s, unnest(range(1, length(s))) AS i FROM (SELECT item_id AS doc_id, {_latin('text')} AS s FROM benchmark))"
+
+
+def _pairs(table: str, key: str) -> str:
+    return f"SELECT doc_id, i - 1 AS pos, substr(s, i, 2) AS pair FROM (SELECT doc_id, s, unnest(range(1, length(s))) AS i FROM (SELECT {key} AS doc_id, {_latin('text')} AS s FROM {table}))"
+
+
+def _pair_counts_sql(pairs: str) -> str:
+    return f"SELECT pair, count(*) AS n, max(doc_id) AS last_doc, cast(arg_max(pos, (doc_id, pos)) AS BIGINT) AS last_pos FROM ({pairs}) GROUP BY pair"
+
+
+def _train_rows_sql(table: str, key: str, rounds: int, least: int, first: int) -> str:
+    """Rounds over all rows of a table: a step holds the texts as one list."""
+    return f"""WITH RECURSIVE t(step, ss, pair, n) AS (
+            SELECT 0, list(s ORDER BY k), '', cast(0 AS BIGINT) FROM (SELECT {key} AS k, {_latin("text")} AS s FROM {table})
+            UNION ALL
+            SELECT step + 1, list_transform(ss, lambda x: replace(x, best.pair, chr({first} + step))), best.pair, best.n FROM t, LATERAL (
+                SELECT arg_min(pair, (-n, last)) AS pair, max(n) AS n FROM (
+                    SELECT pair, count(*) AS n, max((d, i)) AS last FROM (
+                        SELECT d, i, substr(s, i, 2) AS pair FROM (SELECT d, s, unnest(range(1, length(s))) AS i FROM (SELECT unnest(t.ss) AS s, generate_subscripts(t.ss, 1) AS d)))
+                    GROUP BY pair)) best WHERE step < {rounds} AND best.n >= {least})
+        SELECT cast({first} + step - 1 AS BIGINT) AS id, pair, n FROM t WHERE step > 0"""
+
+
+_PAIRS = _pairs("benchmark", "item_id")
 _CLASS = {"alpha": f"[A-Za-z{LETTERS}]", "digit": "[0-9]", "space": r"[ \t\n\v\f\r]", "other": rf"[^A-Za-z{LETTERS}0-9 \t\n\v\f\r]"}
 _REGEX_SQL = _q(f"[A-Za-z{LETTERS}]+|[0-9]{{1,3}}")
 
@@ -339,7 +372,9 @@ ORACLE_SQL = {
     "decode_tokens_native": "SELECT conv_id, turn, md5(text) AS text_md5 FROM conversations",
     "decode_validate": f"SELECT p_partkey, p_size BETWEEN 0 AND {max(VOCAB.values())} AND p_partkey - 10 BETWEEN 0 AND {max(VOCAB.values())} AS valid FROM part",
     "batch_encode_conversations": _encode_sql("conversations", "conv_id, turn", _STRING_STEPS),
-    "pair_counts": f"SELECT pair, count(*) AS n, max(doc_id) AS last_doc, cast(arg_max(pos, doc_id * 1000000 + pos) AS BIGINT) AS last_pos FROM ({_PAIRS}) GROUP BY pair",
+    "pair_counts": _pair_counts_sql(_PAIRS),
+    "pair_counts_documents": _pair_counts_sql(_pairs("documents", "doc_id")),
+    "bbpe_train_benchmark": _train_rows_sql("benchmark", "item_id", 10, 2, 256),
     "pair_argmax_tiebreak": f"SELECT doc_id, arg_min(pair, -n * 1000000 + last) AS pair, max(n) AS n FROM (SELECT doc_id, pair, count(*) AS n, max(pos) AS last FROM ({_PAIRS}) GROUP BY doc_id, pair) GROUP BY doc_id",
     "merge_pair": f"SELECT doc_id, length(s) AS n_ids, md5(s) AS ids_md5 FROM (SELECT doc_id, replace({_latin('text')}, 'th', chr(256)) AS s FROM documents)",
     "bbpe_train_small": _train_sql(12, 2, 256),

@@ -7,6 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import spread
 from . import op01_media, op02_url_rules, op03_toxicity, op04_minhash, op05_bpe, op06_line_dedup, op07_packing, op08_license_scan, op09_token_files, op10_exact_dedup
 from .common import read, small_batches
 
@@ -49,7 +50,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return op05_bpe.round_trip(read(spark, sf_dir, "documents"), path, pattern)
+    return op05_bpe.round_trip(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), path, pattern)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -350,3 +351,35 @@ def test_stream_and_sql(spark, tmp_path):
     assert {r.id: r.ids for r in spark.table("encoded").collect()} == {i: STRING_MODEL.encode(t) for i, t in enumerate(TEXTS)}
     register(spark, STRING_MODEL)
     assert spark.sql("select decode_tokens(encode_tokens('hello there'))").first()[0] == "hello there"
+
+
+@pytest.mark.parametrize("m", [STRING_MODEL, ID_MODEL])
+def test_words_that_a_worker_remembers_are_bounded_in_bytes(monkeypatch, m):
+    """Long words, each met once, go again; ids stay right whatever is forgotten."""
+    from wordloom.operators import bpe
+
+    monkeypatch.setattr(bpe, "_memos", {})
+    monkeypatch.setattr(bpe, "_BYTES", 1 << 18, raising=False)
+    own = random.Random(4)
+    texts = [None, "", *(f"the {'thenr' * 200}{i} {own.random()}" for i in range(3000)), None]
+    run = encode_column(m).func
+    got = run(pa.array(texts))
+    (memo,) = bpe._memos.values()
+    assert sum(4 * len(w) + len(ids) for w, ids in memo.items()) <= 1 << 18
+    assert got.to_pylist() == [None if t is None else m.encode(t) for t in texts]
+    assert run(pa.array(texts).slice(1, 5)).to_pylist() == [m.encode(t) for t in texts[1:6]] and run(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_batches_of_registered_queries_are_small(spark, tmp_path):
+    import __spark_entry__ as e
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    column(spark, TEXTS).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    e.queries()["encode_id_bpe"](spark, str(tmp_path))
+    assert spark.conf.get(key) == str(1 << 22)
+    spark.conf.set(key, "1m")
+    e.queries()["encode_id_bpe"](spark, str(tmp_path))
+    assert spark.conf.get(key) == "1m"
+    spark.conf.set(key, before)

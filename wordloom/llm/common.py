@@ -16,12 +16,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import small_batches  # noqa: F401
+
 #: The white space of the contracts: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
 
-#: Spark's own value of spark.sql.execution.arrow.maxBytesPerBatch.
-_DEFAULT_BYTES = "67108864b"
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -124,16 +123,6 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches to Python hold 4 MB or a row, where the session does not say otherwise.
-
-    For applications, as the registered queries and the pipeline are; operators leave the session as it is.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) == _DEFAULT_BYTES:
-        spark.conf.set(key, str(1 << 22))
-
-
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a folder below the shared one; a missing folder is no error."""
     jvm = spark.sparkContext._jvm

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,23 +13,45 @@ from ..model import OUT_OF_RANGE, TokenizerModel
 
 #: Most rows of a table that is broadcast.
 SMALL = 2_000_000
-#: Words that a worker remembers, for each model.
-_WORDS = 300_000
-_memos: dict[str, dict[str, bytes]] = {}
+#: Words that a worker remembers, for each model, and the bytes that they and their ids take at most, but for those just met.
+_WORDS, _BYTES = 300_000, 1 << 25
+_memos: dict[str, _Memo] = {}
 _mergers: dict[str, BatchMerger] = {}
 
 
-def _parts(texts: list[str | None], size: int = 1 << 20):
-    """Runs of texts of about size characters; a longer text stands in one run."""
-    part, held = [], 0
-    for t in texts:
-        part.append(t)
-        held += len(t or "")
-        if held >= size:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
+class _Memo(dict):
+    """Ids by word, as bytes; `held` bytes in all, with 4 for a character."""
+
+    held = 0
+
+    def learn(self, words: list[str], ids: list[bytes]) -> None:
+        self.update(zip(words, ids))
+        self.held += 4 * sum(map(len, words)) + sum(map(len, ids))
+
+    def forget(self) -> None:
+        """Back to half, if there is more than a worker may hold; those met first are the more frequent ones on the whole."""
+        if len(self) <= _WORDS and self.held <= _BYTES:
+            return
+        gone, held = [], 0
+        for i, (word, ids) in enumerate(self.items()):
+            size = 4 * len(word) + len(ids)
+            if i >= _WORDS // 2 or held + size > _BYTES // 2:
+                gone.append(word)
+            else:
+                held += size
+        for word in gone:
+            del self[word]
+        self.held = held
+
+
+def _parts(column: pa.Array, size: int = 1 << 20):
+    """Slices of a column of texts or lists, in order, of about size bytes or items; a longer row stands in one slice."""
+    length = pc.list_value_length if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else pc.binary_length
+    held = np.cumsum(pc.fill_null(length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(column)]
+    for start, end in zip(cuts, cuts[1:]):
+        if end > start:
+            yield column.slice(start, end - start)
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -40,25 +63,25 @@ def encode_column(model: TokenizerModel):
     """A function from a text column to its ids (array<int>); null for null. A worker encodes each word it remembers once."""
 
     def run(texts: pa.Array) -> pa.Array:
-        memo = _memos.setdefault(model.key, {})
+        memo = _memos.setdefault(model.key, _Memo())
         if model.key not in _mergers:
             _mergers[model.key] = BatchMerger(model)
         merger = _mergers[model.key]
-        found, none = [], []
-        for part in _parts(texts.to_pylist()):
+        found, sizes = [], []  # a part's ids stand together, so no list holds the whole batch in pieces
+        for column in _parts(texts):
+            part, own = column.to_pylist(), []
             split = [model.split(t or "") for t in part]
             new = list({w for words in split for w in words if w not in memo})
-            memo.update(zip(new, merger.word_ids(new)))
+            memo.learn(new, merger.word_ids(new))
             for t, words in zip(part, split):
                 ids, used = model.head(t or "", words)
-                found.append(as_bytes(ids) + b"".join(map(memo.__getitem__, words[used:] if used else words)))
-                none.append(t is None)
-            if len(memo) > _WORDS:
-                for word in list(memo)[_WORDS // 2 :]:  # those met first are the more frequent ones on the whole
-                    del memo[word]
-        ends = np.cumsum([0, *map(len, found)]) // 4
+                own.append(as_bytes(ids) + b"".join(map(memo.__getitem__, words[used:] if used else words)))
+            sizes += map(len, own)
+            found.append(b"".join(own))
+            memo.forget()
+        ends = np.cumsum([0, *sizes]) // 4
         flat = pa.array(np.frombuffer(b"".join(found), np.int32))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array(none, pa.bool_()) if any(none) else None)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=texts.is_null() if texts.null_count else None)
 
     return F.arrow_udf(run, "array<int>")
 

@@ -383,3 +383,24 @@ def test_batches_of_registered_queries_are_small(spark, tmp_path):
     e.queries()["encode_id_bpe"](spark, str(tmp_path))
     assert spark.conf.get(key) == "1m"
     spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "double"])
+def test_pairs_are_counted_without_a_row_for_each(spark, kind):
+    """Characters of any size, null and repeated keys, null and short texts, a text that is counted in pieces."""
+    own = random.Random(9)
+    key = {"int": lambda i: i, "string": lambda i: "aé€😀"[i % 4] * (i % 7), "double": lambda i: [float("nan"), -0.0, 0.0, 1.5][i % 4]}[kind]
+    word = lambda letters: "".join(own.choices(letters, k=own.randint(0, 30)))
+    rows = [(None if i % 11 == 0 else key(own.randint(-9, 9)), None if i % 13 == 0 else word(own.choice(["ab", "aÿ\n", "ab€😀"]))) for i in range(200)]
+    long = "aab" * 800_000
+    rows = spark.createDataFrame([*rows, (key(3), long)], f"doc_id {kind}, s string").repartition(3)
+    want = train.pair_rows(rows.where(F.length("s") < 100)).groupBy("pair").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "pos")).alias("last"))
+    of_long = [("aa", 800_000, len(long) - 3), ("ab", 800_000, len(long) - 2), ("ba", 799_999, len(long) - 4)]
+    more = spark.createDataFrame([(p, n, (key(3), at)) for p, n, at in of_long], f"pair string, n long, last struct<doc_id:{kind},pos:int>")
+    want = want.unionByName(more).groupBy("pair").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    got = train.pair_counts(rows)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select("pair", "n", "last").collect()))
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    by_row = train.pair_counts_of_rows(rows.where(F.length("s") < 100))
+    want = train.pair_rows(rows.where(F.length("s") < 100)).groupBy("doc_id", "pair").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+    assert sorted(map(str, by_row.collect())) == sorted(map(str, want.collect()))

@@ -44,7 +44,7 @@ class _Memo(dict):
         self.held = held
 
 
-def _parts(column: pa.Array, size: int = 1 << 20):
+def parts(column: pa.Array, size: int = 1 << 20):
     """Slices of a column of texts or lists, in order, of about size bytes or items; a longer row stands in one slice."""
     length = pc.list_value_length if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else pc.binary_length
     held = np.cumsum(pc.fill_null(length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
@@ -68,7 +68,7 @@ def encode_column(model: TokenizerModel):
             _mergers[model.key] = BatchMerger(model)
         merger = _mergers[model.key]
         found, sizes = [], []  # a part's ids stand together, so no list holds the whole batch in pieces
-        for column in _parts(texts):
+        for column in parts(texts):
             part, own = column.to_pylist(), []
             split = [model.split(t or "") for t in part]
             new = list({w for words in split for w in words if w not in memo})

@@ -2,18 +2,27 @@
 
 A row is a text whose characters are token ids: byte b is U+00b, a learned id k is code point k (from 0xD800 on
 shifted past the surrogates). Pairs never cross rows. Among pairs with the highest count the one wins whose last
-place comes first, that is, which reached the count first in a scan. A round is one distributed aggregate; only its
-winner comes to the driver.
+place comes first, that is, which reached the count first in a scan. A round is one distributed aggregate: executors
+count the pairs of about a million characters at once with numpy, Spark adds these counts; only the winner comes to the
+driver.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegerType, IntegralType, LongType, StringType, StructField, StructType, TimestampType
 
 from ..model import format_vocab_line
+from .bpe import parts
+
+#: Bytes of text whose pairs are counted at once.
+STEP = 1 << 20
 
 
 def as_ids(text: Column) -> Column:
@@ -36,9 +45,87 @@ def pair_rows(texts: DataFrame, order: str = "doc_id", column: str = "s") -> Dat
     return texts.select(order, F.posexplode(pairs).alias("pos", "pair"))
 
 
+def _tally(texts: list[str], ranks: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Left and right character, count, and row and place of the last occurrence, of each pair in some texts.
+
+    ranks: of the rows, ascending; the last place is one of the highest rank, and in equal ranks the highest. None: each
+    row is counted by itself.
+    """
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    known = np.arange(256) if not len(codes) or codes.max() < 256 else np.unique(codes)
+    symbols = codes.astype(np.int64) if len(known) == 256 and known[-1] == 255 else np.searchsorted(known, codes)
+    square = len(known) ** 2
+    inner = np.ones(max(len(codes) - 1, 0), bool)
+    inner[(cut := ends[ends > 0] - 1)[cut < len(inner)]] = False  # no pair reaches into the next row
+    at = np.flatnonzero(inner)
+    if ranks is not None and len(np.unique(ranks)) < len(ranks):
+        row = np.searchsorted(ends, at, "right")
+        at = at[np.lexsort((at - (ends - sizes)[row], ranks[row]))]
+    keys = symbols[at] * len(known) + symbols[at + 1]
+    if ranks is not None and square <= 1 << 16:
+        last = np.zeros(square, np.int64)
+        last[keys] = at  # of equal keys the last one stays
+        n = np.bincount(keys, minlength=square)
+        pairs = np.flatnonzero(n)
+        n, last = n[pairs], last[pairs]
+    else:
+        if ranks is None:
+            keys += np.searchsorted(ends, at, "right") * square
+        pairs, back, n = np.unique(keys[::-1], return_index=True, return_counts=True)
+        last, pairs = at[::-1][back], pairs % square
+    row = np.searchsorted(ends, last, "right")
+    return known[pairs // len(known)], known[pairs % len(known)], n, row, last - (ends - sizes)[row]
+
+
+def _counted(texts: DataFrame, order: str, column: str, by_row: bool) -> DataFrame:
+    """order, pair, n, pos: pairs of a part of the rows (or of each row), how often they occur there, and their last place."""
+    texts = texts.select(order, F.col(column).alias("s")).where(F.length("s") > 1)
+    schema = StructType([texts.schema[0], StructField("pair", StringType()), StructField("n", LongType()), StructField("pos", IntegerType())])
+
+    def run(batches):
+        def table(keys, texts, ranks, first=0):
+            left, right, n, row, place = _tally(texts, ranks)
+            pairs = pa.array([chr(a) + chr(b) for a, b in zip(left.tolist(), right.tolist())], pa.string())
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pairs, pa.array(n, pa.int64()), pa.array(first + place, pa.int32())], names=schema.names)
+
+        for batch in batches:
+            at = 0
+            for part in parts(batch.column(1), STEP):
+                keys, rows, ranks = batch.column(0).slice(at, len(part)), part, None
+                at += len(part)
+                if not by_row:
+                    ranks = pc.rank(keys, null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+                    by = np.argsort(ranks, kind="stable")
+                    keys, rows, ranks = keys.take(pa.array(by)), part.take(pa.array(by)), ranks[by]
+                rows, short = rows.to_pylist(), []
+                for i, text in enumerate(rows):  # a long text goes piece by piece, which overlap by a character
+                    if len(text) > 2 * STEP:
+                        for first in range(0, len(text) - 1, STEP):
+                            yield table(keys.slice(i, 1), [text[first : first + STEP + 1]], np.zeros(1, np.int64), first)
+                    else:
+                        short.append(i)
+                if short:
+                    yield table(keys.take(pa.array(short)), [rows[i] for i in short], None if ranks is None else ranks[short])
+
+    return texts.mapInArrow(run, schema)
+
+
 def pair_counts(texts: DataFrame, order: str = "doc_id", column: str = "s") -> DataFrame:
-    """pair, n, last: count and last place of each pair."""
-    return pair_rows(texts, order, column).groupBy("pair").agg(F.count("*").alias("n"), F.max(F.struct(order, "pos")).alias("last"))
+    """pair, n, last: count and last place of each pair.
+
+    Rows whose order is of another type than these are counted each by itself, so that Spark alone compares them.
+    """
+    kind = texts.select(order).schema[0].dataType
+    by_row = not (isinstance(kind, (IntegralType, DateType, TimestampType)) or kind == StringType())
+    last = F.max(F.struct(F.col(order), F.col("pos"))).alias("last")
+    return _counted(texts, order, column, by_row).groupBy("pair").agg(F.sum("n").alias("n"), last)
+
+
+def pair_counts_of_rows(texts: DataFrame, order: str = "doc_id", column: str = "s") -> DataFrame:
+    """order, pair, n, last: the pairs of each row (of all rows with the same order), with count and last place."""
+    return _counted(texts, order, column, True).groupBy(order, "pair").agg(F.sum("n").alias("n"), F.max("pos").alias("last"))
 
 
 def best_pair(counts: DataFrame) -> tuple[str, int] | None:

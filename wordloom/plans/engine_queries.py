@@ -183,8 +183,7 @@ def bbpe_train_benchmark(spark, d):
 
 
 def pair_argmax_tiebreak(spark, d):
-    rows = train.pair_rows(_ids(spark, d)).groupBy("doc_id", "pair").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
-    best = rows.groupBy("doc_id").agg(F.min_by(F.struct("pair", "n"), F.struct(-F.col("n"), "last")).alias("b"))
+    best = train.pair_counts_of_rows(_ids(spark, d)).groupBy("doc_id").agg(F.min_by(F.struct("pair", "n"), F.struct(-F.col("n"), "last")).alias("b"))
     return best.select("doc_id", "b.pair", "b.n")
 
 

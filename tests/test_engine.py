@@ -4,6 +4,7 @@ import json
 import random
 import re
 import time
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -18,7 +19,7 @@ from wordloom.model import BAD_VOCAB, OUT_OF_RANGE, WORD_PATTERN, TokenizerModel
 from wordloom.operators import train
 from wordloom.operators.bpe import decode_column, encode_column, look_up
 from wordloom.operators.morph import look_up_words
-from wordloom.plans.engine_queries import ID_MODEL, PREFIX_MODEL, STRING_MODEL
+from wordloom.plans.engine_queries import ID_MODEL, PREFIX_MODEL, STRING_MODEL, VOCAB
 from wordloom.sources.files import parse_special, read_lexicon
 from wordloom.streaming.encode import encode_stream, register
 
@@ -354,7 +355,7 @@ def test_stream_and_sql(spark, tmp_path):
 
 
 @pytest.mark.parametrize("m", [STRING_MODEL, ID_MODEL])
-def test_words_that_a_worker_remembers_are_bounded_in_bytes(monkeypatch, m):
+def test_words_that_a_worker_remembers_are_bounded_in_bytes(spark, monkeypatch, m):
     """Long words, each met once, go again; ids stay right whatever is forgotten."""
     from wordloom.operators import bpe
 
@@ -404,3 +405,19 @@ def test_pairs_are_counted_without_a_row_for_each(spark, kind):
     by_row = train.pair_counts_of_rows(rows.where(F.length("s") < 100))
     want = train.pair_rows(rows.where(F.length("s") < 100)).groupBy("doc_id", "pair").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
     assert sorted(map(str, by_row.collect())) == sorted(map(str, want.collect()))
+
+
+def test_ids_of_a_batch_are_not_listed_at_once(spark):
+    ids = [VOCAB[b"he"]] * 5000
+    batch = pa.array([None, [], *[ids] * 400, [104, 105]], pa.list_(pa.int32()))
+    run = decode_column(STRING_MODEL).func
+    tracemalloc.start()
+    got = run(batch)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [None, "", *["he" * 5000] * 400, "hi"]
+    assert most < 30e6
+    assert run(batch.slice(401, 2)).to_pylist() == ["he" * 5000, "hi"] and run(batch.slice(0, 0)).to_pylist() == []
+    with pytest.raises(ValueError, match=OUT_OF_RANGE):
+        run(pa.array([[999999]], pa.list_(pa.int32())))
+    assert decode_column(STRING_MODEL, strict=False).func(pa.array([[999999], [104]], pa.list_(pa.int32()))).to_pylist() == [None, "h"]

@@ -90,15 +90,18 @@ def decode_column(model: TokenizerModel, strict: bool = True):
     """A function from ids to text; unknown ids and broken UTF-8 raise, or give null if not strict."""
 
     def run(batch: pa.Array) -> pa.Array:
-        out = []
-        for ids in batch.to_pylist():
-            try:
-                out.append(None if ids is None else model.decode(ids))
-            except ValueError:
-                if strict:
-                    raise
-                out.append(None)
-        return pa.array(out, pa.string())
+        found = []
+        for part in parts(batch, 1 << 18):  # a list of numbers takes many times its column's bytes
+            out = []
+            for ids in part.to_pylist():
+                try:
+                    out.append(None if ids is None else model.decode(ids))
+                except ValueError:
+                    if strict:
+                        raise
+                    out.append(None)
+            found.append(pa.array(out, pa.string()))
+        return pa.concat_arrays(found) if found else pa.array([], pa.string())
 
     return F.arrow_udf(run, "string")
 

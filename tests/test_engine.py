@@ -1,6 +1,8 @@
 """The tokenisation engine: model files, splitting, merging, decoding, training, streams."""
 
+import itertools
 import json
+import os
 import random
 import re
 import time
@@ -421,3 +423,29 @@ def test_ids_of_a_batch_are_not_listed_at_once(spark):
     with pytest.raises(ValueError, match=OUT_OF_RANGE):
         run(pa.array([[999999]], pa.list_(pa.int32())))
     assert decode_column(STRING_MODEL, strict=False).func(pa.array([[999999], [104]], pa.list_(pa.int32()))).to_pylist() == [None, "h"]
+
+
+def test_native_merging_looks_up_a_few_tokens_each(spark):
+    """The ids of model.merge_strings, with units of bytes and unknown characters; no map holds a large part of a vocabulary."""
+    from wordloom.operators.bpe import encode_words_native, vocab_map
+
+    many = TokenizerModel({f"{a}{b}{c}".encode(): i for i, (a, b, c) in enumerate(itertools.product("abcdefghij", repeat=3))})
+    maps = spark.range(1).select(F.transform(vocab_map(many), F.size).alias("n")).first()["n"]
+    assert sum(maps) == 1000 and max(maps) < 20
+    own = random.Random(6)
+    for _ in range(6):
+        letters = own.choice(["ab", "abé<0 ", "xy€𝄞"])
+        text = lambda most: "".join(own.choice(letters + "aQ") for _ in range(own.randint(0, most)))
+        tokens = sorted({text(4) + own.choice(letters) for _ in range(own.randint(1, 60))})
+        m = TokenizerModel(dict(zip((t.encode() for t in tokens), own.sample(range(900), len(tokens)))))
+        words = [None, "", "<0x61>a", "a", "ab<0xE2><0>", *(text(40) for _ in range(60))]
+        got = column(spark, words).select("id", encode_words_native(F.col("text"), vocab_map(m)).alias("ids")).orderBy("id").collect()
+        assert [r["ids"] for r in got] == [None if w is None else m.merge_strings(w.encode()) for w in words]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_native_encoding_uses_all_cores(spark):
+    import __spark_entry__ as e
+
+    df = e.queries()["encode_native_hof"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

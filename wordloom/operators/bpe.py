@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -107,23 +109,45 @@ def decode_column(model: TokenizerModel, strict: bool = True):
 
 
 def encode_words_native(words: Column, vocab: Column) -> Column:
-    """String merging of short words without Python: one array of symbols, as many steps as the word is long.
+    """String merging of short words without Python: an array of symbols and one of the ranks of their pairs.
 
-    vocab: a map from token to id. Takes a word's symbols squared in time; for words, not for whole texts.
+    vocab: what vocab_map gives. Each step merges one pair and looks up the two pairs that it touches; a step copies the
+    arrays, so the time is a word's symbols squared; for words, not for whole texts.
     """
     none = 2**31 - 1
+    id_of = lambda x: F.try_element_at(F.element_at(vocab, (F.crc32(x) % F.size(vocab)).cast("int") + 1), x)
+    rank = lambda a, b: F.coalesce(id_of(F.concat(a, b)), F.lit(none))
+    no_ranks = F.array().cast("array<int>")
+
+    def step(state: Column) -> Column:
+        s, r = state["s"], state["r"]
+
+        def merge(at: Column) -> Column:
+            i, both = at["i"], at["both"]
+            before = F.when(i > 1, F.array(rank(F.element_at(s, i - 1), both))).otherwise(no_ranks)
+            after = F.when(i + 1 < F.size(s), F.array(rank(both, F.element_at(s, i + 2)))).otherwise(no_ranks)
+            symbols = F.concat(F.slice(s, F.lit(1), i - 1), F.array(both), F.slice(s, i + 2, F.greatest(F.size(s) - i - 1, F.lit(0))))
+            ranks = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, F.greatest(F.size(r) - i - 1, F.lit(0))))
+            return F.struct(symbols.alias("s"), ranks.alias("r"))
 
-    def step(s: Column) -> Column:
-        ranked = F.transform(F.sequence(F.lit(1), F.greatest(F.size(s) - 1, F.lit(1))), lambda i: F.struct(F.coalesce(F.try_element_at(vocab, F.concat(F.try_element_at(s, i), F.try_element_at(s, i + 1))), F.lit(none)).alias("r"), i.alias("i")))
-        return F.transform(F.array(F.array_min(ranked)), lambda c: F.when(c["r"] == none, s).otherwise(F.concat(F.slice(s, F.lit(1), c["i"] - 1), F.array(F.concat(F.element_at(s, c["i"]), F.try_element_at(s, c["i"] + 1))), F.slice(s, c["i"] + 2, F.greatest(F.size(s) - c["i"] - 1, F.lit(0))))))[0]
+        joined = lambda i: F.struct(i.alias("i"), F.concat(F.element_at(s, i), F.element_at(s, i + 1)).alias("both"))
+        merged = F.transform(F.transform(F.array(F.array_position(r, F.array_min(r)).cast("int")), joined), merge)[0]
+        return F.when(F.array_min(r) < none, merged).otherwise(state)
 
     symbols = F.regexp_extract_all(words, F.lit(r"<0[xX][0-9a-fA-F]*>|[\s\S]"), F.lit(0))
-    merged = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(words), F.lit(1))), symbols, lambda s, _: step(s))
-    return F.transform(merged, lambda x: F.coalesce(F.try_element_at(vocab, x), F.lit(-1)))
+    pairs = lambda s: F.when(F.size(s) > 1, F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), rank)).otherwise(no_ranks)
+    start = F.transform(F.array(symbols), lambda s: F.struct(s.alias("s"), pairs(s).alias("r")))[0]
+    merged = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(words) - 1, F.lit(1))), start, lambda state, _: step(state), lambda state: state["s"])
+    return F.transform(merged, lambda x: F.coalesce(id_of(x), F.lit(-1)))
 
 
 def vocab_map(model: TokenizerModel) -> Column:
-    return F.create_map(*[F.lit(x) for t, i in model.vocab.items() for x in (t.decode(), i)])
+    """Maps from token to id, each token in that of its CRC-32: Spark reads a map from its first key on, so one map would take its whole length for each look-up."""
+    tokens = sorted((t.decode(), i) for t, i in model.vocab.items())
+    maps: list[list] = [[] for _ in tokens]
+    for token, i in tokens:
+        maps[zlib.crc32(token.encode()) % len(maps)] += [F.lit(token), F.lit(i)]
+    return F.array(*[F.create_map(*x).cast("map<string,int>") for x in maps])
 
 
 def valid_ids(ids: Column, model: TokenizerModel) -> Column:

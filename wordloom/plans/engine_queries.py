@@ -126,7 +126,7 @@ def encode_id_bpe(spark, d):
 
 
 def encode_native_hof(spark, d):
-    names = _read(spark, d, "part").select("p_partkey", F.posexplode(split_words(F.col("p_name"))).alias("pos", "word"))
+    names = spread(_read(spark, d, "part").select("p_partkey", "p_name"), always=True).select("p_partkey", F.posexplode(split_words(F.col("p_name"))).alias("pos", "word"))
     ids = encode_words_native(pretokenize(F.col("word"), STRING_MODEL), vocab_map(STRING_MODEL))
     return names.select(F.col("p_partkey").alias("doc_id"), F.col("pos").cast("long").alias("pos"), _digest(ids).alias("ids_md5"))
 

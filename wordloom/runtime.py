@@ -38,11 +38,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(1 << 22))
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, always: bool = False) -> DataFrame:
     """The rows of a scan, dealt to all cores if its files give fewer partitions than there are cores.
 
     A row group is read by one task, so a small table in one file would keep one core busy. Larger tables stay where they
-    are read, without a shuffle.
+    are read, without a shuffle. always: those, too, are dealt evenly, for narrow rows that take far longer than their
+    shuffle, as many partitions of such a scan can be empty.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    cores, parts = scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()
+    return scan.repartition(max(cores, parts)) if always or parts < cores else scan

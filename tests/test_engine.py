@@ -373,6 +373,39 @@ def test_words_that_a_worker_remembers_are_bounded_in_bytes(spark, monkeypatch,
     assert run(pa.array(texts).slice(1, 5)).to_pylist() == [m.encode(t) for t in texts[1:6]] and run(pa.array([], pa.string())).to_pylist() == []
 
 
+@pytest.mark.parametrize("m", [STRING_MODEL, ID_MODEL])
+def test_words_of_a_long_text_are_not_listed_at_once(spark, monkeypatch, m):
+    """Texts of many times a part's size, between others, take a few bytes a byte; the ids are those of the texts one by one."""
+    from wordloom.operators import bpe
+
+    monkeypatch.setattr(bpe, "_memos", {})
+    texts = ["the end", " ".join(f"the {i % 999}\té" for i in range(250_000)), None, "", " of" + "x " * 1_000_000, "and"]
+    run, batch = encode_column(m).func, pa.array(texts)
+    run(batch.slice(0, 1))
+    tracemalloc.start()
+    got = run(batch)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    memo: dict = {}
+    want = pa.array([None if t is None else m.encode(t, memo) for t in texts], pa.list_(pa.int32()))
+    assert got.equals(want)
+    assert most < 12 * sum(len(t or "") for t in texts)
+
+
+def test_long_texts_keep_their_words_and_prefix():
+    """Whatever is cut where: prefix at a long text's start only, given patterns with groups and empty matches."""
+    from wordloom.operators.bpe import _runs
+
+    for m in (PREFIX_MODEL, TokenizerModel(VOCAB, STRING_MODEL.special, prefix=PREFIX_MODEL.prefix, byte_mode=True, pattern="([a-z]{1,2})|([0-9]*)")):
+        for texts in (["a b", "the hen 12 and 345 then", None, " the  end of", "x"], ["the hen 12 and 345 then"], ["", None]):
+            for size, words in ((0, 1), (3, 2), (12, 3), (99, 9)):
+                got = [[] for _ in texts]
+                for rows in _runs(m, texts, size, words):
+                    for row, head, own in rows:
+                        got[row] += head + [i for w in own for i in m.word_ids(w)]
+                assert got == [m.encode(t or "") for t in texts]
+
+
 def test_batches_of_registered_queries_are_small(spark, tmp_path):
     import __spark_entry__ as e
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,25 @@ def parts(column: pa.Array, size: int = 1 << 20):
             yield column.slice(start, end - start)
 
 
+def _runs(model: TokenizerModel, part: list[str | None], size: int = 1 << 20, words: int = 1 << 17):
+    """Lists of (row, ids before the words, words), in order: all rows of a part, but a text of more than size characters so many words at a time."""
+    run = []
+    for row, text in enumerate(part):
+        text = text or ""
+        if len(text) <= size:
+            own = model.split(text)
+            ids, used = model.head(text, own)
+            run.append((row, ids, own[used:] if used else own))
+            continue
+        yield run
+        run, rest, first = [], model.words_of(text), True
+        while own := list(islice(rest, words)):
+            ids, used = model.head(text, own) if first else ([], 0)
+            yield [(row, ids, own[used:] if used else own)]
+            first = False
+    yield run
+
+
 def small(table: DataFrame) -> DataFrame:
     """The table, to be broadcast if it has at most SMALL rows."""
     return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
@@ -69,21 +89,21 @@ def encode_column(model: TokenizerModel):
         if model.key not in _mergers:
             _mergers[model.key] = BatchMerger(model)
         merger = _mergers[model.key]
-        found, sizes = [], []  # a part's ids stand together, so no list holds the whole batch in pieces
+        flat, sizes = bytearray(), []  # ids stand together, so no list holds the whole batch in pieces
         for column in parts(texts):
-            part, own = column.to_pylist(), []
-            split = [model.split(t or "") for t in part]
-            new = list({w for words in split for w in words if w not in memo})
-            memo.learn(new, merger.word_ids(new))
-            for t, words in zip(part, split):
-                ids, used = model.head(t or "", words)
-                own.append(as_bytes(ids) + b"".join(map(memo.__getitem__, words[used:] if used else words)))
-            sizes += map(len, own)
-            found.append(b"".join(own))
-            memo.forget()
+            part = column.to_pylist()
+            begins = len(sizes)
+            sizes += [0] * len(part)
+            for rows in _runs(model, part):
+                new = list({w for _, _, words in rows for w in words if w not in memo})
+                memo.learn(new, merger.word_ids(new))
+                for row, head, words in rows:
+                    ids = as_bytes(head) + b"".join(map(memo.__getitem__, words))
+                    sizes[begins + row] += len(ids)
+                    flat += ids
+                memo.forget()
         ends = np.cumsum([0, *sizes]) // 4
-        flat = pa.array(np.frombuffer(b"".join(found), np.int32))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=texts.is_null() if texts.null_count else None)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)), mask=texts.is_null() if texts.null_count else None)
 
     return F.arrow_udf(run, "array<int>")
 
